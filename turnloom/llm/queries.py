@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import copies, group_splits, match_groups, rebuild, repeated_lines
+from turnloom.llm import copies, encoding, group_splits, language, leaks, match_groups, rebuild, repeated_lines
 from turnloom.session import table
 
 
@@ -47,4 +47,36 @@ def p6_ledger(spark: SparkSession, d: str) -> DataFrame:
     return copies.fold_copies(table(spark, d, "interim_record"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_clean, p4_found, p4_assign, p5_found, p5_turns, p6_found, p6_ledger)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_cases(table(spark, d, "interim_record"))
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's languages with their confidence."""
+    return language.row_languages(language.row_segments(table(spark, d, "interim_record")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_pairs(table(spark, d, "documents"), table(spark, d, "task"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the documents that stay."""
+    return leaks.remove_leaked(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "task")).select("doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, d, "documents"))
+
+
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of the repaired text of each garbled document."""
+    out = encoding.repaired_documents(table(spark, d, "documents"))
+    return out.select("doc_id", F.md5("text").alias("digest"), "restored")
+
+
+_ALL = (
+    p2_found, p3_found, p3_clean, p4_found, p4_assign, p5_found, p5_turns, p6_found, p6_ledger,
+    p7_found, p7_languages, p9_found, p9_clean, p10_found, p10_repaired,
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -75,5 +75,12 @@ WITH k AS (
   FROM interim_record),
 f AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY source, body, m) AS a FROM k)
 SELECT a AS rec_id_a, rec_id AS rec_id_b FROM f WHERE a <> rec_id
+""",
+    "p9_found": r"""
+WITH dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+tw AS (SELECT task_id, string_split(trim(regexp_replace(lower(problem), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM task WHERE problem IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM dw WHERE len(w) >= 12),
+tg AS (SELECT task_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM tw WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, task_id FROM dg JOIN tg USING (g)
 """,
 }
