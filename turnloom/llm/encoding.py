@@ -152,23 +152,32 @@ class PairModel:
         return best
 
 
-def spans(text: str, link: str, model: PairModel) -> list[tuple[int, int, str, float]]:
-    """(start, end, undone, gain) of the spans of a text whose undoing under a link gains."""
-    out = []
-    for m in _finder(link).finditer(text):
-        start, end = m.span()
-        if got := model.judged(link, text[start - 1 : start] if start else " ", m.group(), text[end : end + 1] or " "):
-            out.append((start, end, *got))
+@lru_cache(CACHE)
+def _places(run: str) -> tuple[tuple[str, tuple[tuple[int, int], ...]], ...]:
+    """Links that could have made a part of a run of non-ASCII characters, with the places of those parts."""
+    got = ((link, tuple(m.span() for m in _finder(link).finditer(run))) for link in LINKS[:-1])
+    return tuple((link, places) for link, places in got if places)
+
+
+_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+def all_spans(text: str, model: PairModel) -> dict[str, list[tuple[int, int, str, float]]]:
+    """By link, (start, end, undone, gain) of the spans of a text whose undoing under that link gains."""
+    out: dict[str, list] = {}
+    for run in _RUNS.finditer(text):
+        for link, places in _places(run.group()):
+            for a, b in places:
+                start, end = run.start() + a, run.start() + b
+                if got := model.judged(link, text[start - 1 : start] if start else " ", text[start:end], text[end : end + 1] or " "):
+                    out.setdefault(link, []).append((start, end, *got))
     return out
 
 
 def evidence(text: str, model: PairModel, most: float = math.inf) -> dict[str, float]:
     """Total gain per link, up to ``most``; each U+FFFD counts as lossy evidence, which nothing can undo."""
-    got = {}
-    for link in LINKS[:-1]:
-        if total := sum(s[3] for s in spans(text, link, model)):
-            got[link] = min(total, most)
-    if n := text.count("�"):
+    got = {link: min(sum(m[3] for m in marks), most) for link, marks in all_spans(text, model).items()}
+    if n := text.count("\ufffd"):
         got[LOSSY] = min(10.0 * n, most)
     return got
 
@@ -176,11 +185,12 @@ def evidence(text: str, model: PairModel, most: float = math.inf) -> dict[str, f
 def repair(text: str, model: PairModel, priors: dict[str, float]) -> str:
     """Undo the most probable link, again and again: nested and mixed chains unwind in up to ROUNDS links."""
     for _ in range(ROUNDS):
-        got = {k: v + math.log(priors.get(k, 1e-6)) for k, v in evidence(text, model).items() if k != LOSSY}
-        if not got:
+        found = all_spans(text, model)
+        if not found:
             break
-        link = max(LINKS[:-1], key=lambda k: got.get(k, -math.inf))
-        marks = spans(text, link, model)
+        total = {k: sum(m[3] for m in v) + math.log(priors.get(k, 1e-6)) for k, v in found.items()}
+        link = max(LINKS[:-1], key=lambda k: total.get(k, -math.inf))
+        marks = found[link]
         if link.startswith("utf_8>"):
             for start, end, undone, _ in reversed(marks):
                 text = text[:start] + undone + text[end:]
