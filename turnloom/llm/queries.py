@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import copies, encoding, group_splits, language, leaks, match_groups, rebuild, repeated_lines
+from turnloom.llm import copies, encoding, group_splits, language, leaks, match_groups, packing, pii, rebuild, repeated_lines
 from turnloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_kinds(table(spark, d, "interim_record"), table(spark, d, "name_list"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of each conversation with its items replaced by placeholders."""
+    out = pii.redacted(table(spark, d, "interim_record").select("rec_id", "conversation"), table(spark, d, "name_list"))
+    return out.select("rec_id", F.md5(F.to_json("conversation")).alias("digest"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return match_groups.match_groups(table(spark, d, "interim_record"))
 
@@ -56,6 +66,10 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.row_languages(language.row_segments(table(spark, d, "interim_record")))
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_all(table(spark, d, "documents"), table(spark, d, "container_spec"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_pairs(table(spark, d, "documents"), table(spark, d, "task"))
 
@@ -76,7 +90,7 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p2_found, p3_found, p3_clean, p4_found, p4_assign, p5_found, p5_turns, p6_found, p6_ledger,
-    p7_found, p7_languages, p9_found, p9_clean, p10_found, p10_repaired,
+    p1_found, p1_redacted, p2_found, p3_found, p3_clean, p4_found, p4_assign, p5_found, p5_turns, p6_found, p6_ledger,
+    p7_found, p7_languages, p8_pack, p9_found, p9_clean, p10_found, p10_repaired,
 )
 QUERIES = {f.__name__: f for f in _ALL}
