@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,14 @@ MARKERS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used inside a higher-order lambda is evaluated anew for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Python ``str.strip``: every Unicode space at both ends."""
     return F.regexp_replace(col, rf"(?U)\A{WS_CHAR}+|{WS_CHAR}+\z", "")
@@ -54,9 +63,11 @@ def word_count(col: Column) -> Column:
 
 def word_ngrams(col: Column, n: int) -> Column:
     """Lower-cased word n-grams; fewer than n words give an empty array. Repeats are kept."""
-    w = words(F.lower(col))
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def grams(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return let(words(F.lower(col)), grams)
 
 
 def alternation(rules: tuple[str, ...]) -> str:
