@@ -153,6 +153,8 @@ def assign_splits(df: DataFrame, targets: DataFrame, row_id: str = "rec_id") ->
     spark = df.sparkSession
     stage = Stage(spark, "group-splits")
     shares = {r["split"]: float(r["share"]) for r in targets.where(F.col("split").isNotNull()).collect()}
+    if not shares:
+        raise ValueError("no split targets")
     labels = related_rows(stage, df, {"group": F.col("group_id"), "conv": F.col("conv_id")}, row_id)
     rows = df.select(F.col(row_id).alias("node"), presplit_value(F.col("presplit")).alias("p")).join(labels, "node", "left")
     rows = stage.write(rows.select("node", F.coalesce("component", "node").alias("component"), "p"), "rows")

@@ -46,7 +46,9 @@ MAX_RATIO = 0.75
 LONG_WORDS, WINDOW = 24, 8
 
 _SENTENCE = re.compile(r"(?<=[.?!…])[\"'”’»)*_\]]*\s+|(?<=[。？！])[”」』]*|[\n\r ]+")
-_NOT_TEXT = re.compile(r"\S*[@\d]\S*|[\W\d_]+")
+_NOT_TEXT = re.compile(r"[\W\d_]+")
+_MARKED = re.compile(r"[@\d]")
+_ASCII_RUN = re.compile(r"[!-~]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CYRILLIC = re.compile(r"[Ѐ-ԯ]")
 _CJK = re.compile(r"[㐀-鿿]")
@@ -75,8 +77,11 @@ def sentences(text: str) -> list[str]:
 
 
 def plain(sentence: str) -> str:
-    """Letters only, lower-cased, one blank between words: digits and codes say nothing of the language."""
-    return _NOT_TEXT.sub(" ", sentence.lower()).strip()
+    """Letters only, lower-cased, one blank between words; addresses, numbers and codes are left out whole."""
+    low = sentence.lower()
+    if _MARKED.search(low):
+        low = _ASCII_RUN.sub(lambda m: " " if _MARKED.search(m.group()) else m.group(), low)
+    return _NOT_TEXT.sub(" ", low).strip()
 
 
 def script(text: str) -> str:

@@ -87,15 +87,22 @@ def search_shard(ids: np.ndarray, tests: Tests) -> Iterator[tuple[int, int, int]
         for i in np.flatnonzero(low < high):
             part = column[low[i] : high[i]]
             low[i], high[i] = low[i] + np.searchsorted(part, want[i], "left"), low[i] + np.searchsorted(part, want[i], "right")
-    for i in np.flatnonzero(low < high):
-        q = probe[i]
-        for p in at[order[low[i] : high[i]]]:
-            if p and q and ids[p - 1] and ids[p - 1] == tests.ids[q - 1]:
-                continue  # inside a match that began earlier
-            n = MIN_WORDS
-            while p + n < len(ids) and q + n < len(tests.ids) and ids[p + n] and ids[p + n] == tests.ids[q + n]:
-                n += 1
-            yield int(p), int(q), n
+    width = high - low
+    q = np.repeat(probe, width)
+    within = np.arange(len(q)) - np.repeat(np.cumsum(width) - width, width)
+    p = at[order[np.repeat(low, width) + within]]
+    # a hit whose words before it match too lies inside a match that began earlier
+    before = np.where((p > 0) & (q > 0), ids[p - 1], 0)
+    starts = (before == 0) | (before != tests.ids[q - 1])
+    p, q = p[starts], q[starts]
+    words = np.full(len(p), MIN_WORDS)
+    open_ = np.arange(len(p))
+    padded, asked = np.append(ids, 0), np.append(tests.ids, 0)
+    while len(open_):
+        a, b = padded[p[open_] + words[open_]], asked[q[open_] + words[open_]]
+        open_ = open_[(a != 0) & (a == b)]
+        words[open_] += 1
+    yield from zip(p.tolist(), q.tolist(), words.tolist())
 
 
 def _searcher(tasks: list[tuple[str, list[str]]]):

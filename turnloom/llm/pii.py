@@ -58,7 +58,7 @@ _ID_CUED = re.compile(rf"(?<!\w)(?:{ID_WORDS})(?:{_S}*(?:no\.?|number|nr\.?|is|:
 _STREET_EN = re.compile(
     rf"(?<![\w.,/-])(?:(?:flat|apt\.?|unit){_S}*\d+\w?,{_S}*)?\d{{1,5}}[a-z]?,?{_S}+(?P<words>(?:[^\W\d_][\w'’-]*{_S}+){{1,3}})(?:{STREET_EN})(?!\w)\.?"
     rf"(?P<tail>{_S}*,?{_S}*(?:apt\.?|flat|unit){_S}*\d+{_S}?[a-z]?)?(?P<code>,?{_S}*(?:[^\W\d_][\w'’-]*{_S}+){{1,2}}\d{{5}}(?!\d))?", re.I)
-_STREET_DE = re.compile(rf"(?<!\w)[^\W\d_][\w-]*(?:stra(?:ß|ss)e|str\.|gasse|allee|platz|straat|laan|gracht|plein){_S}+\d{{1,4}}{_S}?[a-z]?(?!\w)(?:,?{_S}*\d{{4,5}}{_S}+[^\W\d_]+)?", re.I)
+_STREET_DE = re.compile(rf"(?<!\w)[^\W\d_][\w-]{{0,60}}(?:stra(?:ß|ss)e|str\.|gasse|allee|platz|straat|laan|gracht|plein){_S}+\d{{1,4}}{_S}?[a-z]?(?!\w)(?:,?{_S}*\d{{4,5}}{_S}+[^\W\d_]+)?", re.I)
 _STREET_FR = re.compile(
     rf"(?<![\w.,/-])\d{{1,4}}(?:{_S}?(?:bis|ter|quater))?,?{_S}+(?:rue|avenue|boulevard|chemin|impasse|quai|all[ée]e){_S}+(?:d[eu]s?{_S}+(?:la{_S}+)?|de{_S}+l['’]|l[ae]s?{_S}+)?[^\W\d_][\w'’-]*(?:,?{_S}*\d{{5}}{_S}+[^\W\d_]+)?", re.I)
 _STREET_ES = re.compile(

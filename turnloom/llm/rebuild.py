@@ -34,12 +34,12 @@ def role_class(col: Column) -> Column:
     return F.when(low.isin(*USER_ROLES), F.lit("user")).when(low.isin(*ASSISTANT_ROLES), F.lit("assistant"))
 
 
-def events_of(df: DataFrame) -> DataFrame:
+def events_of(df: DataFrame, op: str | None = None, version: str | None = None) -> DataFrame:
     """Message rows as log events: (url, idx, role, content, op, version, body).
 
     ``body`` is a 128-bit digest of all columns except ``row_id``: equal bodies are retries of one message.
-    Columns ``op`` (create, edit, delete) and ``version`` are used where present; else every row is a create
-    without a version.
+    ``op`` and ``version`` name columns with the kind of event (create, edit, delete) and an integer version;
+    without them every row is a create without a version. Unreadable versions count as none.
     """
     rest = sorted(c for c in df.columns if c != "row_id")
     body = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]), {"ignoreNullFields": "false"}))
@@ -48,8 +48,8 @@ def events_of(df: DataFrame) -> DataFrame:
         message_index(F.col("message_index")).alias("idx"),
         role_class(F.col("role")).alias("role"),
         F.col("plain_text").alias("content"),
-        (F.coalesce(F.col("op"), F.lit("create")) if "op" in df.columns else F.lit("create")).alias("op"),
-        (F.col("version").cast("bigint") if "version" in df.columns else F.lit(None).cast("bigint")).alias("version"),
+        (F.coalesce(F.lower(F.col(op)), F.lit("create")) if op else F.lit("create")).alias("op"),
+        (F.col(version).try_cast("bigint") if version else F.lit(None).cast("bigint")).alias("version"),
         F.unhex(body).alias("body"),
     )
 
@@ -107,24 +107,24 @@ def verdicts(events: DataFrame) -> DataFrame:
     return seen.select("url", "low", "n", reason.alias("reason"))
 
 
-def dropped_conversations(df: DataFrame) -> DataFrame:
+def dropped_conversations(df: DataFrame, op: str | None = None, version: str | None = None) -> DataFrame:
     """(url) of the non-empty urls whose conversation is unusable. Empty input gives an empty result."""
-    return verdicts(events_of(df)).where(F.col("reason").isNotNull()).select("url")
+    return verdicts(events_of(df, op, version)).where(F.col("reason").isNotNull()).select("url")
 
 
-def rebuild_turns(df: DataFrame) -> DataFrame:
+def rebuild_turns(df: DataFrame, op: str | None = None, version: str | None = None) -> DataFrame:
     """(url, turn, role, content) of the usable conversations, in message form: turn = index - lowest index."""
-    events = events_of(df)
+    events = events_of(df, op, version)
     good = verdicts(events).where(F.col("reason").isNull()).select("url", "low")
     turns = fold_events(events, ["role", "content"])
     return turns.join(good, "url").select("url", (F.col("idx") - F.col("low")).cast("bigint").alias("turn"), "role", "content")
 
 
-def rebuild_conversations(df: DataFrame) -> DataFrame:
+def rebuild_conversations(df: DataFrame, op: str | None = None, version: str | None = None) -> DataFrame:
     """(url, part, conversation ARRAY<STRUCT<role, content>>) of the usable conversations, in order.
 
     A conversation longer than PART_TURNS comes in several parts, so no task gathers an unbounded group.
     """
     part = F.floor(F.col("turn") / PART_TURNS).cast("int").alias("part")
-    nested = rebuild_turns(df).groupBy("url", part).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
+    nested = rebuild_turns(df, op, version).groupBy("url", part).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
     return nested.select("url", "part", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("conversation"))
