@@ -114,9 +114,14 @@ def best_config(df: DataFrame, score: str, order: list[str]) -> DataFrame:
     return df.orderBy(F.col(score).desc(), *order).limit(1)
 
 
+def unit_edges(bins: int) -> list[float]:
+    """Edges k * (1 / bins) of [0, 1], in floating point as evenly spaced grids are made; the last is 1."""
+    return [k * (1.0 / bins) for k in range(bins)] + [1.0]
+
+
 def unit_bin(score: Column, bins: int) -> Column:
-    """Equal-width bin on [0, 1] against literal edges k/bins; right edges belong to the next bin, 1 to the last."""
-    edges = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
+    """Equal-width bin on [0, 1] against literal edges; right edges belong to the next bin, 1 to the last."""
+    edges = F.array(*[F.lit(e) for e in unit_edges(bins)])
     return F.least(F.size(F.filter(edges, lambda e: e <= score)) - 1, F.lit(bins - 1)).cast("int")
 
 

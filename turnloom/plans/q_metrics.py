@@ -130,7 +130,7 @@ def _cohorts(spark: SparkSession, d: str) -> DataFrame:
 
 _COHORTS = f"""
 c AS (SELECT vec_id, CASE WHEN label < 5 THEN 'a' ELSE 'b' END AS cohort, {K.unit('score', 'vec_id')} AS p FROM embeddings),
-h AS (SELECT *, CAST(least(len(list_filter(list_transform(range({BINS + 1}), lambda k: k / {BINS}.0), lambda e: e <= p)) - 1, {BINS - 1}) AS INT) AS bin FROM c)
+h AS (SELECT *, CAST(least(len(list_filter(CAST({M.unit_edges(BINS)!r} AS DOUBLE[]), lambda e: e <= p)) - 1, {BINS - 1}) AS INT) AS bin FROM c)
 """
 SQL_HISTOGRAM = f"""
 WITH {_COHORTS}, n AS (SELECT bin, count(*) FILTER (cohort = 'a') AS n_a, count(*) FILTER (cohort = 'b') AS n_b FROM h GROUP BY bin)
