@@ -41,12 +41,15 @@ def allowed_mask(source: Column, presplit: Column) -> Column:
     return F.when(source != "hh_rlhf", F.lit(7)).when(presplit.eqNullSafe(F.lit("test")), F.lit(4)).otherwise(F.lit(3))
 
 
-def first_seen(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+def first_seen(df: DataFrame, keys: list[str], row_id: str, carry: bool = False) -> DataFrame:
     """Rows with the smallest ``row_id`` of their key; the rest are later copies.
 
     A minimum per key (combined map-side) and a semi join on the unique id stand for a window, so a key with a
-    third of all rows is no hot task. Rows with equal NULL keys count as copies of each other.
+    third of all rows is no hot task. With ``carry`` the row travels with the minimum instead of being joined:
+    right for few narrow columns that cost much to compute. Rows with equal NULL keys count as copies of each other.
     """
+    if carry:
+        return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct(*df.columns), row_id).alias("r")).select("r.*")
     first = df.groupBy(*keys).agg(F.min(row_id).alias(row_id)).select(row_id)
     return df.join(first, row_id, "left_semi")
 
@@ -57,11 +60,21 @@ def ngram_counts(df: DataFrame, text: Column, n: int, by: str = "source") -> Dat
 
 
 def template_rows(df: DataFrame, text: Column, n: int, limit: int, row_id: str, by: str = "source") -> DataFrame:
-    """(row_id) of rows with an n-gram that occurs more than ``limit`` times in their source."""
-    grams = df.select(row_id, by, F.explode(T.word_ngrams(text, n)).alias("gram"))
-    common = grams.groupBy(by, "gram").agg(F.count("*").alias("c")).where(F.col("c") > limit)
+    """(row_id) of rows with an n-gram that occurs more than ``limit`` times in their source.
+
+    N-grams are compared by 128 bits of hash of their words, so no n-gram text is built or shuffled.
+    """
+
+    def hashes(w: Column) -> Column:
+        every = F.transform(
+            F.sequence(F.lit(1), F.size(w) - n + 1),
+            lambda i: F.struct(F.xxhash64(F.slice(w, i, n)).alias("a"), F.xxhash64(F.lit(n), F.slice(w, i, n)).alias("b")))
+        return F.when(F.size(w) >= n, every)
+
+    grams = df.select(row_id, by, F.explode(T.let(T.words(F.lower(text)), hashes)).alias("g")).select(row_id, by, "g.a", "g.b")
+    common = grams.groupBy(by, "a", "b").agg(F.count("*").alias("c")).where(F.col("c") > limit)
     # common n-grams occur > limit times each, so they are few against the rows; AQE decides how to join and splits skew
-    return grams.join(common.select(by, "gram"), [by, "gram"], "left_semi").select(row_id).distinct()
+    return grams.join(common.select(by, "a", "b"), [by, "a", "b"], "left_semi").select(row_id).distinct()
 
 
 def shared_texts(df: DataFrame, key: str = "clean_user_hash", words: str = "clean_words") -> DataFrame:
@@ -77,16 +90,16 @@ def not_in_earlier(later: DataFrame, earlier: DataFrame, key: str = "conv_id") -
 
 def with_clean(df: DataFrame) -> DataFrame:
     """Add clean_conversation and the metadata of the marker-free text (clean_user_hash, clean_first_hash, ...)."""
-    df = df.withColumn("clean_conversation", C.clean_conversation(F.col("conversation")))
-    conv = F.col("clean_conversation")
-    return df.withColumns(
-        {
-            "clean_user_hash": T.md5_text(T.norm_text(C.user_text(conv))),
-            "clean_first_hash": T.md5_text(T.norm_text(C.first_user_turn(conv))),
-            "clean_words": T.word_count(C.user_text(conv)),
-            "clean_first_words": T.word_count(C.first_user_turn(conv)),
-        }
-    )
+    def described(conv: Column) -> Column:
+        both = F.struct(C.user_text(conv).alias("user"), C.first_user_turn(conv).alias("first"))
+        facts = lambda t: F.struct(
+            conv.alias("conv"), T.md5_text(T.norm_text(t["user"])).alias("uh"), T.md5_text(T.norm_text(t["first"])).alias("fh"),
+            T.word_count(t["user"]).alias("uw"), T.word_count(t["first"]).alias("fw"))
+        return T.let(both, facts)
+
+    out = df.withColumn("__clean", T.let(C.clean_conversation(F.col("conversation")), described))
+    names = {"clean_conversation": "conv", "clean_user_hash": "uh", "clean_first_hash": "fh", "clean_words": "uw", "clean_first_words": "fw"}
+    return out.select(*df.columns, *[F.col(f"__clean.{v}").alias(k) for k, v in names.items()])
 
 
 def labels_all_english(labels: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.skew import hot_threshold, join_counted
+from turnloom.skew import HOT_SHARE, hot_threshold, join_counted
 from turnloom.staging import Stage
 
 LINK_SCHEMA = "id bigint, kind string, key string"
@@ -26,29 +26,24 @@ def star_links(stage: Stage, keyed: DataFrame) -> DataFrame:
     return linked.where(F.col("id") != F.col("rep")).select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
 
-def _large_star(stage: Stage, edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
-    both = stage.write(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-    mins = stage.write(
-        both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "mins"
-    )
-    larger = both.where(F.col("v") > F.col("u"))
-    out = join_counted(larger, mins, ["u"], "n", F.col("v"), hot_threshold(mins, "n"))
-    out = stage.write(out.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-    stage.drop(both)
-    stage.drop(mins)
-    return out
+def _large_star(stage: Stage, edges: DataFrame, threshold: float) -> DataFrame:
+    """Link every larger neighbour of a node to the smallest node of its neighbourhood.
+
+    The minima are one exchange that the plan reuses for the hot keys' list and for the join.
+    """
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    mins = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    out = join_counted(both.where(F.col("v") > F.col("u")), mins, ["u"], "n", F.col("v"), threshold)
+    return stage.write(out.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
 
 
-def _small_star(stage: Stage, edges: DataFrame) -> DataFrame:
+def _small_star(stage: Stage, edges: DataFrame, threshold: float) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    mins = stage.write(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "mins")
-    moved = join_counted(down, mins, ["u"], "n", F.col("v"), hot_threshold(mins, "n"))
+    mins = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(down, mins, ["u"], "n", F.col("v"), threshold)
     moved = moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = stage.write(moved.union(mins.select("u", F.col("m").alias("v"))).distinct(), "small")
-    stage.drop(mins)
-    return out
+    return stage.write(moved.union(mins.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -65,8 +60,10 @@ def connected_components(stage: Stage, edges: DataFrame, max_rounds: int = 100)
     cur = stage.write(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "edges")
     seen = _fingerprint(cur)
     for _ in range(max_rounds):
-        large = _large_star(stage, cur)
-        small = _small_star(stage, large)
+        # a node is hot above 1/HOT_SHARE of the edge ends; the rewrites never add edges
+        threshold = 2.0 * seen[0] / HOT_SHARE
+        large = _large_star(stage, cur, threshold)
+        small = _small_star(stage, large, threshold)
         stage.drop(large)
         stage.drop(cur)
         cur, now = small, _fingerprint(small)

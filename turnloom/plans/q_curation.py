@@ -41,7 +41,7 @@ def clean_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Repeats by the marker-free user text, after conversations emptied by deletion are gone."""
     df = Q.with_clean(_records(spark, d).select("rec_id", "source", "conversation"))
     df = df.where(C.rejection_reason(F.col("clean_conversation")).isNull()).select("rec_id", "source", "clean_user_hash")
-    return Q.first_seen(df, ["source", "clean_user_hash"], "rec_id")
+    return Q.first_seen(df, ["source", "clean_user_hash"], "rec_id", carry=True)
 
 
 _CLEAN = f"""
