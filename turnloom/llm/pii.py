@@ -151,8 +151,9 @@ class Finder:
     def _emails(self, text: str) -> Iterator[tuple[int, int, str, float]]:
         for pattern, needs in ((_EMAIL, _AT), (_EMAIL_SPELLED, _DOT_WORD)):
             for m in pattern.finditer(text) if needs.search(text) else ():
-                top = re.split(r"[\W_]+", m["domain"])[-1]
-                if len(top) >= 2 and top.isalpha():
+                labels = [x for x in re.split(r"[\W_]+", m["domain"].lower()) if x]
+                spelled = pattern is _EMAIL_SPELLED and any(x in STOP for x in labels)
+                if len(labels[-1]) >= 2 and labels[-1].isalpha() and not spelled:
                     yield m.start(), m.end(), "email", 2.0
 
     def _ids(self, text: str) -> Iterator[tuple[int, int, str, float]]:
