@@ -214,6 +214,10 @@ class Classifier:
                     run = [turn, i, 1, lang, conf * n if lang else 0.0, n if lang else 0]
                     out.append(run)
                 last = lang or last
+            if run is not None and run[1] == 0 and run[3] is None:  # no sentence of its own: the turn as a whole
+                lang, conf, n = self.sentence(text or "", last)
+                if lang is not None:
+                    run[3:], last = [lang, conf * n, n], lang
         return [(t, a, n, lang, w / c if c else 0.0, c) for t, a, n, lang, w, c in out]
 
 

@@ -43,12 +43,12 @@ STOP = frozenset(
     "his her our their old new please then yesterday today tomorrow call text send who what when where why how which all any some into over under".split()
 )
 
-_S = r"[\s ]"
+_S = r"\s"
 _DOT = rf"(?:\.|{_S}*[\[({{]{_S}*dot{_S}*[\])}}]{_S}*|{_S}+dot{_S}+)"
 _EMAIL = re.compile(rf"(?<![\w.+%-])\w[\w.+%-]*(?:@|{_S}*[\[({{]{_S}*at{_S}*[\])}}]{_S}*)(?P<domain>[\w-]+(?:{_DOT}[\w-]+)+)", re.I)
 _EMAIL_SPELLED = re.compile(rf"(?<![\w.+%-])\w[\w.+%-]*{_S}+at{_S}+(?P<domain>[\w-]+(?:{_S}+dot{_S}+[\w-]+)+)", re.I)
 _DOT_WORD = re.compile(rf"[\[({{]{_S}*dot{_S}*[\])}}]|{_S}dot{_S}", re.I)
-_NUMBER = re.compile(r"(?<![\w@.,/-])[+(]?\d(?:[\d().]|[ \t \-/](?=[\d(])){5,26}\d(?![\w@]|[.,/-]\d)")
+_NUMBER = re.compile(r"(?<![\w@.,/-])[+(]?\d(?:[\d().]|(?:[^\S\n]{1,3}|[-/])(?=[\d(])){5,26}\d(?![\w@]|[.,/-]\d)")
 _SHAPES = {  # (kind, score without any context)
     "iban": (re.compile(rf"(?<!\w)[A-Z]{{2}}{_S}?\d{{2}}(?:{_S}?[A-Z\d]{{4}}){{3,7}}(?:{_S}?[A-Z\d]{{1,3}})?(?!\w)", re.I), 0.8),
     "licence": (re.compile(r"(?<!\w)[A-Z]\d{3}[- ]\d{4}[- ]\d{4}(?!\w)", re.I), 1.0),
@@ -93,9 +93,9 @@ _ARTICLES = frozenset(("the", "old", "a", "an", "quote", "plot"))
 _AT = re.compile(rf"@|[\[({{]{_S}*at{_S}*[\])}}]", re.I)
 _STEMS = re.compile(r"stra(?:ß|ss)e|str\.|gasse|allee|platz|straat|laan|gracht|plein", re.I)
 _KINDS = re.compile(r"(?<!\w)(?:calle|avenida|av\.|paseo|plaza|rua|travessa|via|viale|piazza|corso)\s", re.I)
-_CLOSED = re.compile(r"[\s ]*(?:[.,;!?|\"}<)\]\n]|$|yesterday|then|for you|ok)", re.I)
-_INITIAL = re.compile(r"\.?[\s ]+")
-_COMMA = re.compile(r",[\s ]*")
+_CLOSED = re.compile(r"\s*(?:[.,;!?|\"}<)\]\n]|$|yesterday|then|for you|ok)", re.I)
+_INITIAL = re.compile(r"\.?\s+")
+_COMMA = re.compile(r",\s*")
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d")
 _PHONE_SHAPES = re.compile(
     r"\+\d[\d ().\-]{7,20}|00\d[\d ().\-]{7,20}|\(\d{2,5}\) ?\d{3,4}[ .\-]?\d{3,5}|\d{3}([ .\-])\d{3}\1\d{4}|0\d{9,10}|0\d{2,4} \d{3,4} \d{3,4}|0\d(?: \d\d){4}"
@@ -121,7 +121,7 @@ class Finder:
         for w in (*given, *family, *signs, *cues, *streets):
             self.triggers.add_word(w, True)
         self.triggers.make_automaton()
-        self.number = re.compile(rf"\d(?:\D{{0,3}}\d){{5}}|\d[\w,.]*[\s ]+(?:[\w.,’'-]+[\s ]+){{0,3}}(?:{STREET_EN}|rue|boulevard|chemin|quai)(?!\w)", re.I)
+        self.number = re.compile(rf"\d(?:\D{{0,3}}\d){{5}}|\d[\w,.]*\s+(?:[\w.,’'-]+\s+){{0,3}}(?:{STREET_EN}|rue|boulevard|chemin|quai)(?!\w)", re.I)
 
     def may_hold(self, text: str) -> bool:
         if self.number.search(text):
@@ -181,7 +181,7 @@ class Finder:
             before = text[max(0, m.start() - CONTEXT) : m.start()]
             if not 7 <= len(digits) <= 19 or _DATE.fullmatch(span) or _near["not"].search(before) or "," in span:
                 continue
-            flat = re.sub(r"[\s ]", " ", span)
+            flat = " ".join(span.split())
             phone_cue, id_cue, form = (bool(_near[k].search(before)) for k in ("phone", "id", "form"))
             echo = bool(_near["echo"].search(before))
             ident = 0.0
