@@ -35,8 +35,9 @@ LOSSY = "lossy"
 LINKS = tuple(f"utf_8>{w}" for w in UTF8_READ_AS) + tuple(f"{a}>{b}" for a, b in BYTES_READ_AS) + (LOSSY,)
 #: Shortest run of high characters taken for a whole word in another 8-bit encoding.
 RUN = 4
-#: Evidence per record and link is held in steps of a half, up to this much; EM works on the counts of those.
-MAX_EVIDENCE = 30.0
+#: EM works on counts of signatures: the SIGNATURE strongest links of a record with their evidence in about 20 levels,
+#: up to MAX_EVIDENCE. So one source has at most some 90,000 signatures, whatever the number of its records.
+MAX_EVIDENCE, SIGNATURE = 30.0, 2
 ROUNDS, EM_ROUNDS = 4, 25
 CODES = 2048
 #: Judged spans each worker remembers; words repeat, so most spans cost one look-up.
@@ -235,7 +236,7 @@ def _weigh(pairs: dict[int, int]):
 
 
 def _em(rows: pd.DataFrame) -> pd.DataFrame:
-    """Priors of the links in one source from its counts of evidence signatures (at most a few thousand)."""
+    """Priors of the links in one source from its counts of evidence signatures (bounded, see SIGNATURE)."""
     gains = np.full((len(rows), len(LINKS) + 1), -np.inf)
     gains[:, 0] = 0.0
     for i, sig in enumerate(rows["sig"]):
@@ -263,7 +264,9 @@ def posteriors(docs: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     pairs = pair_counts(slim)
     weighed = slim.mapInArrow(_weigh(pairs), "doc_id bigint, source string, evidence array<struct<link:string,gain:double>>")
     weighed = stage.write(weighed, "evidence")
-    step = F.transform("evidence", lambda e: F.struct(e["link"].alias("link"), (F.round(e["gain"] * 2) / 2).alias("gain")))
+    top = F.slice(F.reverse(F.array_sort(F.transform("evidence", lambda e: F.struct(e["gain"].alias("gain"), e["link"].alias("link"))))), 1, SIGNATURE)
+    level = lambda g: F.when(g < 6, F.round(g * 2) / 2).otherwise(F.round(g / 5) * 5)
+    step = F.transform(top, lambda e: F.struct(e["link"].alias("link"), level(e["gain"]).alias("gain")))
     counts = weighed.groupBy("source", step.alias("sig")).agg(F.count("*").alias("n"))
     some = weighed.groupBy("source").agg(F.count("*").alias("k"))
     clean = slim.groupBy("source").agg(F.count("*").alias("m")).join(some, "source")

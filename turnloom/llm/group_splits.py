@@ -56,26 +56,33 @@ def _local_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         parts_u.append(batch.column("u").to_numpy(zero_copy_only=False))
         parts_v.append(batch.column("v").to_numpy(zero_copy_only=False))
         held += batch.num_rows
-        if held > TASK_EDGES:  # contract what is held so far; the tree edges stand for it
-            u, v = forest(np.concatenate(parts_u), np.concatenate(parts_v))
-            parts_u, parts_v, held = [u], [v], 0
+        if held >= TASK_EDGES:  # a partition beyond the bound gives several forests
+            yield from _trees(parts_u, parts_v)
+            parts_u, parts_v, held = [], [], 0
     if parts_u:
-        u, v = forest(np.concatenate(parts_u), np.concatenate(parts_v))
-        for at in range(0, len(u), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 100_000]), pa.array(v[at : at + 100_000])], ["u", "v"])
+        yield from _trees(parts_u, parts_v)
+
+
+def _trees(parts_u: list[np.ndarray], parts_v: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    u, v = forest(np.concatenate(parts_u), np.concatenate(parts_v))
+    for at in range(0, len(u), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 100_000]), pa.array(v[at : at + 100_000])], ["u", "v"])
 
 
 def merged_forest(stage: Stage, edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of ``edges(u, v)``; the component is its smallest node."""
+    """(node, component) of the nodes of ``edges(u, v)``; the component is its smallest node.
+
+    Rows are dealt out evenly, not by node, so the star of a hot node is no hot partition.
+    """
     cur, parts = stage.write(edges.mapInArrow(_local_forests, "u bigint, v bigint"), "forest"), None
     while True:
         n = cur.count()
         least = max(1, -(-n // TASK_EDGES))
-        now = max(least, (parts or max(FAN_IN, cur.rdd.getNumPartitions())) // FAN_IN)
+        now = max(least, (parts or FAN_IN**2) // FAN_IN)
         if now == parts:
             break
         parts = now
-        cur = stage.write(cur.repartition(parts, "v").mapInArrow(_local_forests, "u bigint, v bigint"), "forest")
+        cur = stage.write(cur.repartition(parts).mapInArrow(_local_forests, "u bigint, v bigint"), "forest")
         if parts == 1:
             roots = cur.select("v").distinct()
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

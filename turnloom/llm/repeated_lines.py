@@ -20,7 +20,7 @@ from turnloom.staging import Stage
 #: Counters per source in one partition's summary. The error of a summary is at most lines/CAPACITY.
 CAPACITY = 8192
 #: Counters that one partition holds for all sources together, before it gives its summaries out and starts anew.
-HELD = 1_000_000
+HELD = 200_000
 #: Candidate or confirmed lists up to this many rows (16 to 64 bytes each) are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 500_000
 MIN_LETTERS, MIN_ROWS, MIN_SHARE = 20, 5, 0.02
@@ -80,10 +80,15 @@ def _summaries(capacity: int, held: int):
             names = batch.column("source").dictionary_encode()
             code = np.repeat(names.indices.to_numpy(zero_copy_only=False), np.diff(lines.offsets.to_numpy()))
             flat = lines.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((flat, code))
+            code, flat = code[order], flat[order]
+            new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
+            counts = np.diff(np.append(new, len(flat)))
+            ends = np.searchsorted(code[new], np.arange(len(names.dictionary) + 1))
             for i, name in enumerate(names.dictionary.to_pylist()):
-                keys, counts = np.unique(flat[code == i], return_counts=True)
-                by.setdefault(name, _Summary()).add(keys, counts, capacity)
-            if sum(len(s.keys) for s in by.values()) > held:
+                part = slice(ends[i], ends[i + 1])
+                by.setdefault(name, _Summary()).add(flat[new[part]], counts[part], capacity)
+            if sum(len(s.keys) + 1 for s in by.values()) > held:
                 yield from out()
         yield from out()
 
