@@ -37,6 +37,14 @@ def test_json_and_pairs(spark, tmp_path):
                 f.write(json.dumps({"chosen": f"\n\nHuman: q{i}\n\nAssistant: yes", "rejected": f"\n\nHuman: q{i}\n\nAssistant: no"}) + "\n")
     got = {r["conv_id"]: r for r in R.hh_rlhf(spark, str(tmp_path / "hh")).collect()}
     assert set(got) == {f"base/{s}/{i}" for s in ("train", "test") for i in range(3)}
+    (tmp_path / "plain" / "b").mkdir(parents=True)
+    (tmp_path / "plain" / "b" / "train.jsonl").write_text("".join(json.dumps({"chosen": f"\n\nHuman: q{i}\n\nAssistant: yes", "rejected": f"\n\nHuman: q{i}\n\nAssistant: no"}) + "\n" for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = R.hh_rlhf(spark, str(tmp_path / "plain")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["conv_id"]: r["conversation"][0]["content"] for r in rows} == {f"b/train/{i}": f"q{i}" for i in range(400)}
     assert got["base/test/2"]["presplit"] == "test" and [t["content"] for t in got["base/test/2"]["conversation"]] == ["q2", "yes"]
 
 

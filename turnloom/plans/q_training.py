@@ -321,6 +321,12 @@ def success_means(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", F.round("mean", 6).alias("mean"), F.round("half", 3).alias("half"), "n")
 
 
+def success_spread(spark: SparkSession, d: str) -> DataFrame:
+    """G16 without the quantile: mean, deviation and number of the tasks' success per source."""
+    out = K2.task_success(_graded(spark, d), ["source"])
+    return out.groupBy("source").agg(F.round(F.avg("success"), 6).alias("mean"), F.round(F.stddev_samp("success"), 6).alias("sd"), F.count("*").alias("n"))
+
+
 def paired_delta(spark: SparkSession, d: str) -> DataFrame:
     """difference of two pseudo-graders on the same tasks, as mean and deviation."""
     a = K2.task_success(_graded(spark, d), [])
@@ -355,5 +361,6 @@ CATALOGUE = {
     "reply_faults": (reply_faults, SQL_FAULTS),
     "task_success": (task_success, f"WITH {_GRADED} SELECT source, task_id, round(success, 6) AS success FROM t"),
     "success_means": (success_means, None),
+    "success_spread": (success_spread, f"WITH {_GRADED} SELECT source, round(avg(success), 6) AS mean, round(stddev_samp(success), 6) AS sd, count(*) AS n FROM t GROUP BY source"),
     "paired_delta": (paired_delta, SQL_DELTA),
 }

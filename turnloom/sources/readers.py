@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnloom.functions import text as T
 from turnloom.operators import conversation as C
@@ -63,18 +64,21 @@ def sharegpt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hh_rlhf(spark: SparkSession, root: str) -> DataFrame:
-    """Preference pairs under ``root/<subset>/<split>.jsonl[.gz]``; id = subset/split/line number.
+    """Preference pairs under ``root/<subset>/<split>.jsonl[.gz]``; id = subset/split/line number from 0.
 
-    Lines are numbered within each file: files of this layout are read whole (``wholetext`` is not needed for the
-    number, gzip is one split); the number is the row's position in its file's only split.
+    A line's number is the count of lines in the file's earlier blocks plus its place in its own block, so plain
+    files may be read in many splits (gzip files are one).
     """
     df = spark.read.schema("chosen string, rejected string").json(f"{root}/*/*.jsonl*")
-    parts = F.split(F.input_file_name(), "/")
+    parts = F.split(F.col("_metadata.file_path"), "/")
     split = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl(\.gz)?$", "")
+    block = ["subset", "split", "at"]
     df = df.select("*", F.element_at(parts, -2).alias("subset"), split.alias("split"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mono"))
-    first = df.groupBy("subset", "split").agg(F.min("mono").alias("first"))
-    df = df.join(F.broadcast(first), ["subset", "split"])  # one row per file
-    cid = F.concat_ws("/", "subset", "split", (F.col("mono") - F.col("first")).cast("string"))
+    blocks = df.groupBy(*block).agg(F.min("mono").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("subset", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # blocks of one file
+    blocks = blocks.select(*block, "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    df = df.join(blocks, block)
+    cid = F.concat_ws("/", "subset", "split", (F.col("before") + F.col("mono") - F.col("first")).cast("string"))
     return _record(df, conv_id=cid, group_id=cid, presplit="split", conversation=parse_preference_pair(F.col("chosen"), F.col("rejected")), meta=F.to_json(F.struct("subset")))
 
 
