@@ -152,6 +152,20 @@ def test_repeated_lines(spark):
             assert g["content"] == keep
 
 
+def test_more_tied_lines_than_a_summary_holds(spark):
+    def word(k):
+        return "".join(chr(97 + k // 26**j % 26) for j in range(4))
+
+    tied = [f"one of very many repeated lines {word(k)}" for k in range(repeated_lines.CAPACITY + 300)]
+    rows = [(i, "copies", talk("\n".join(tied))) for i in range(1, 11)]
+    rows += [(i, "other", talk(f"a line that only {word(i)} has in itself\nand a line that all of them have")) for i in range(11, 21)]
+    df = spark.createDataFrame(rows, f"rec_id bigint, model string, conversation {CONV}")
+    got = {tuple(r) for r in repeated_lines.repeated_lines(df).collect()}
+    assert got == {(i, 0, k) for i in range(1, 11) for k in range(len(tied))} | {(i, 0, 1) for i in range(11, 21)}
+    clean = {r["rec_id"]: r["conversation"][0]["content"] for r in repeated_lines.remove_repeated_lines(df).collect()}
+    assert clean == {i: "" if i < 11 else f"a line that only {word(i)} has in itself" for i in range(1, 21)}
+
+
 def test_summaries_keep_every_heavy_line():
     import numpy as np
 

@@ -2,8 +2,9 @@
 
 Pass 1 builds, in every partition, mergeable heavy-hitter summaries (Misra-Gries) of 64-bit line keys per
 source. Adding up the counters and the error bounds of the partitions gives, for every line, an upper bound of
-its count; lines whose bound reaches the threshold are candidates. Pass 2 counts the candidates exactly, by a
-128-bit key. Confirmed lines are removed by per-source sets.
+its count; lines whose bound reaches the threshold are candidates. Where a source's error bound itself reaches the
+threshold, a line that no summary holds may be repeated too, so that source's lines are counted exactly instead.
+Pass 2 counts the candidates exactly, by a 128-bit key. Confirmed lines are removed by per-source sets.
 """
 
 from __future__ import annotations
@@ -114,9 +115,15 @@ def confirmed_lines(stage: Stage, df: DataFrame, source: str = "model", row_id:
     sizes = rows.groupBy("source").agg(F.count("*").alias("rows"))
     sizes = stage.write(sizes.withColumn("least", F.greatest(F.lit(MIN_ROWS), F.ceil(F.col("rows") * F.lit(MIN_SHARE) - 1e-9))), "sizes")
     bounds = sizes.join(merged.where(F.col("line").isNull()).select("source", "error"), "source")
-    candidates = stage.write(
-        merged.where(F.col("line").isNotNull()).drop("error").join(bounds, "source").where(F.col("n") + F.col("error") >= F.col("least"))
-        .select("source", F.col("line").alias("h")), "candidates")
+    bounds = stage.write(bounds, "bounds")
+    held = merged.where(F.col("line").isNotNull()).drop("error").join(bounds.where(F.col("error") < F.col("least")), "source")
+    chosen = held.where(F.col("n") + F.col("error") >= F.col("least")).select("source", F.col("line").alias("h"))
+    loose = bounds.where(F.col("error") >= F.col("least")).select("source", "least")
+    if not loose.isEmpty():
+        each = hashed.join(sized(loose), "source").select("source", "least", F.explode("lines").alias("h"))
+        counted = each.groupBy("source", "least", "h").agg(F.count("*").alias("n"))
+        chosen = chosen.unionByName(counted.where(F.col("n") >= F.col("least")).select("source", "h"))
+    candidates = stage.write(chosen, "candidates")
     lines = (
         rows.select("id", "source", F.posexplode("conv").alias("turn", "t"))
         .select("id", "source", "turn", F.posexplode(F.split(F.coalesce("t.content", F.lit("")), "\n")).alias("line_no", "line"))
