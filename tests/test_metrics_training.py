@@ -206,3 +206,12 @@ def test_schedule_and_catalogue(spark):
     assert len(experiments.select(["binary/*"])) == 3 and len(experiments.source_pairs()) == 21
     with pytest.raises(ValueError):
         experiments.select(["nothing*"])
+
+
+def test_token_loss_full_counts_long_records(spark, tmp_path):
+    from turnloom.plans import catalogue
+
+    conv = lambda n: [("user", " ".join(["word"] * n)), ("assistant", "reply")]
+    rows = [("s", conv(n)) for n in (0, 1, 60, 61, 4096, 4097)]
+    spark.createDataFrame(rows, "source string, conversation array<struct<role:string,content:string>>").write.parquet(f"{tmp_path}/interim_record.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["token_loss_full"](spark, str(tmp_path)).collect()] == [("s", 0.4, 1.491825, 4, 4218)]

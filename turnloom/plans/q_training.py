@@ -199,19 +199,36 @@ SELECT rec_id, CAST(count(*) + 1 AS INT) AS n, CAST(count(*) FILTER (target) AS
 """
 
 
-def token_loss(spark: SparkSession, d: str) -> DataFrame:
-    """Token-weighted loss per source; word length stands in for a token's loss."""
-    df = table(spark, d, "interim_record").select("source", T.words(C.user_text(F.col("conversation"))).alias("w")).where((F.size("w") > 0) & (F.size("w") <= 60))
+def _token_loss(spark: SparkSession, d: str, longest: int) -> DataFrame:
+    df = table(spark, d, "interim_record").select("source", T.words(C.user_text(F.col("conversation"))).alias("w")).where((F.size("w") > 0) & (F.size("w") <= longest))
     loss = F.aggregate("w", F.lit(0), lambda acc, x: acc + F.char_length(x)) / F.lit(10.0)
     out = S.token_loss(df.select("source", loss.alias("loss"), F.size("w").alias("t")), ["source"], "loss", "t")
     return out.select("source", F.round("nll_token_mean", 6).alias("nll_token_mean"), F.round("ppl_token", 6).alias("ppl_token"), "n_conv", "n_tokens")
 
 
+def token_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Token-weighted loss per source; word length stands in for a token's loss.
+
+    Only records of 1 to 60 user words count, as in this query's SQL; ``token_loss_full`` has the reference's limit.
+    """
+    return _token_loss(spark, d, 60)
+
+
+def token_loss_full(spark: SparkSession, d: str) -> DataFrame:
+    """token_loss over all records within the reference's length limit, sft.MAX_TOKENS."""
+    return _token_loss(spark, d, sft.MAX_TOKENS)
+
+
 SQL_LOSS = f"""
 WITH w AS (SELECT source, {K.split_words(K.user_text())} AS w FROM interim_record),
 l AS (SELECT source, list_sum(list_transform(w, lambda x: length(x))) / 10.0 AS loss, len(w) AS t FROM w WHERE len(w) BETWEEN 1 AND 60)
 SELECT source, round(sum(loss) / sum(t), 6) AS nll_token_mean, round(exp(sum(loss) / sum(t)), 6) AS ppl_token, count(*) AS n_conv, CAST(sum(t) AS BIGINT) AS n_tokens FROM l GROUP BY source
 """
+SQL_LOSS_FULL = f"""
+WITH w AS (SELECT source, {K.split_words(K.user_text())} AS w FROM interim_record),
+l AS (SELECT source, list_sum(list_transform(w, lambda x: length(x))) / 10.0 AS loss, len(w) AS t FROM w WHERE len(w) BETWEEN 1 AND 4096)
+SELECT source, round(sum(loss) / sum(t), 6) AS nll_token_mean, round(exp(sum(loss) / sum(t)), 6) AS ppl_token, count(*) AS n_conv, CAST(sum(t) AS BIGINT) AS n_tokens FROM l GROUP BY source
+"""
 
 
 def length_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -352,6 +369,7 @@ CATALOGUE = {
     "noise_floor": (noise_floor, SQL_NOISE),
     "sft_flip": (sft_flip, SQL_FLIP),
     "token_loss": (token_loss, SQL_LOSS),
+    "token_loss_full": (token_loss_full, SQL_LOSS_FULL),
     "length_buckets": (length_buckets, SQL_BUCKETS),
     "token_batches": (token_batches, None),
     "sample_packs": (sample_packs, None),
