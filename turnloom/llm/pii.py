@@ -38,6 +38,9 @@ NAME_WORDS = (
 TITLES = r"mr|mrs|ms|miss|dr|prof|herr|frau|mme|monsieur|madame|sr|sra|señor|señora"
 NOT_NUMBERS = r"order|lot|ticket|hash|version|build|release|isbn|invoice|total|sums to|port|line|model|case|fall|dossier|expediente|processo|pratica"
 STREET_EN = r"street|st|road|rd|avenue|ave|lane|ln|court|ct|close|rise|boulevard|blvd|drive|way|place|square|terrace|crescent|hill|grove|mews|row"
+STREET_FR = r"rue|avenue|boulevard|chemin|impasse|quai|all[ée]e"
+STREET_STEMS = r"stra(?:ß|ss)e|str\.|gasse|allee|platz|straat|laan|gracht|plein"
+STREET_KINDS = r"calle|avenida|av\.|paseo|plaza|rua|travessa|via|viale|piazza|corso"
 STOP = frozenset(
     "the a an of and or in on at to for from by with is are was were be been this that these those it its as if not no yes they them he she we you i my your "
     "his her our their old new please then yesterday today tomorrow call text send who what when where why how which all any some into over under".split()
@@ -58,11 +61,11 @@ _ID_CUED = re.compile(rf"(?<!\w)(?:{ID_WORDS})(?:{_S}*(?:no\.?|number|nr\.?|is|:
 _STREET_EN = re.compile(
     rf"(?<![\w.,/-])(?:(?:flat|apt\.?|unit){_S}*\d+\w?,{_S}*)?\d{{1,5}}[a-z]?,?{_S}+(?P<words>(?:[^\W\d_][\w'’-]*{_S}+){{1,3}})(?:{STREET_EN})(?!\w)\.?"
     rf"(?P<tail>{_S}*,?{_S}*(?:apt\.?|flat|unit){_S}*\d+{_S}?[a-z]?)?(?P<code>,?{_S}*(?:[^\W\d_][\w'’-]*{_S}+){{1,2}}\d{{5}}(?!\d))?", re.I)
-_STREET_DE = re.compile(rf"(?<!\w)[^\W\d_][\w-]{{0,60}}(?:stra(?:ß|ss)e|str\.|gasse|allee|platz|straat|laan|gracht|plein){_S}+\d{{1,4}}{_S}?[a-z]?(?!\w)(?:,?{_S}*\d{{4,5}}{_S}+[^\W\d_]+)?", re.I)
+_STREET_DE = re.compile(rf"(?<!\w)[^\W\d_][\w-]{{0,60}}(?:{STREET_STEMS}){_S}+\d{{1,4}}{_S}?[a-z]?(?!\w)(?:,?{_S}*\d{{4,5}}{_S}+[^\W\d_]+)?", re.I)
 _STREET_FR = re.compile(
-    rf"(?<![\w.,/-])\d{{1,4}}(?:{_S}?(?:bis|ter|quater))?,?{_S}+(?:rue|avenue|boulevard|chemin|impasse|quai|all[ée]e){_S}+(?:d[eu]s?{_S}+(?:la{_S}+)?|de{_S}+l['’]|l[ae]s?{_S}+)?[^\W\d_][\w'’-]*(?:,?{_S}*\d{{5}}{_S}+[^\W\d_]+)?", re.I)
+    rf"(?<![\w.,/-])\d{{1,4}}(?:{_S}?(?:bis|ter|quater))?,?{_S}+(?:{STREET_FR}){_S}+(?:d[eu]s?{_S}+(?:la{_S}+)?|de{_S}+l['’]|l[ae]s?{_S}+)?[^\W\d_][\w'’-]*(?:,?{_S}*\d{{5}}{_S}+[^\W\d_]+)?", re.I)
 _STREET_ES = re.compile(
-    rf"(?<!\w)(?P<kind>calle|avenida|av\.|paseo|plaza|rua|travessa|via|viale|piazza|corso){_S}+(?P<words>(?:[^\W\d_][\w'’-]*{_S}+){{0,3}}[^\W\d_][\w'’-]*),?{_S}+(?:n[º.]?{_S}*)?\d{{1,4}}(?![\w])(?:,{_S}*\d+\.?[ºª]?{_S}*[A-Z](?!\w))?(?:,{_S}*\d{{5}}{_S}+[^\W\d_]+)?", re.I)
+    rf"(?<!\w)(?P<kind>{STREET_KINDS}){_S}+(?P<words>(?:[^\W\d_][\w'’-]*{_S}+){{0,3}}[^\W\d_][\w'’-]*),?{_S}+(?:n[º.]?{_S}*)?\d{{1,4}}(?![\w])(?:,{_S}*\d+\.?[ºª]?{_S}*[A-Z](?!\w))?(?:,{_S}*\d{{5}}{_S}+[^\W\d_]+)?", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
@@ -91,8 +94,8 @@ _TITLE = re.compile(rf"(?<!\w)(?:{TITLES})\.?{_S}+(?=[^\W\d_])", re.I)
 _TITLES = frozenset(TITLES.split("|"))
 _ARTICLES = frozenset(("the", "old", "a", "an", "quote", "plot"))
 _AT = re.compile(rf"@|[\[({{]{_S}*at{_S}*[\])}}]", re.I)
-_STEMS = re.compile(r"stra(?:ß|ss)e|str\.|gasse|allee|platz|straat|laan|gracht|plein", re.I)
-_KINDS = re.compile(r"(?<!\w)(?:calle|avenida|av\.|paseo|plaza|rua|travessa|via|viale|piazza|corso)\s", re.I)
+_STEMS = re.compile(STREET_STEMS, re.I)
+_KINDS = re.compile(rf"(?<!\w)(?:{STREET_KINDS})\s", re.I)
 _CLOSED = re.compile(r"\s*(?:[.,;!?|\"}<)\]\n]|$|yesterday|then|for you|ok)", re.I)
 _INITIAL = re.compile(r"\.?\s+")
 _COMMA = re.compile(r",\s*")
@@ -100,6 +103,42 @@ _DATE = re.compile(r"(?:19|20)\d\d[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-
 _PHONE_SHAPES = re.compile(
     r"\+\d[\d ().\-]{7,20}|00\d[\d ().\-]{7,20}|\(\d{2,5}\) ?\d{3,4}[ .\-]?\d{3,5}|\d{3}([ .\-])\d{3}\1\d{4}|0\d{9,10}|0\d{2,4} \d{3,4} \d{3,4}|0\d(?: \d\d){4}"
 )
+# What a text with an item of digits holds: five digits as near as in a number or cued id, the tail of a short account
+# code, or a house number before a street word.
+_DIGITS = re.compile(
+    rf"\d(?:\D{{0,80}}\d){{4}}|\d\d(?:{_S}?[A-Z\d]{{4}}){{3}}|\d[\w,.]*{_S}+(?:[\w.,’'-]+{_S}+){{0,3}}(?:{STREET_EN}|{STREET_FR})(?!\w)", re.I)
+#: Letters whose lower case is not what re.I or a single word's lower() takes for it; texts with one are always searched.
+_ODD_CASE = re.compile("[\u0130\u0131\u017f\u03a3]")
+
+
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def spellings(pattern: str) -> list[str]:
+    """Every string that a finite pattern (literals, sets, groups, alternatives, optional parts) matches."""
+    from re import _constants as K
+    from re import _parser
+
+    def each(nodes) -> list[str]:
+        out = [""]
+        for op, arg in nodes:
+            if op is K.LITERAL:
+                ends = [chr(arg)]
+            elif op is K.IN:
+                ends = [x for node in arg for x in each([node])]
+            elif op is K.BRANCH:
+                ends = [x for branch in arg[1] for x in each(branch)]
+            elif op is K.SUBPATTERN:
+                ends = each(arg[3])
+            elif op is K.MAX_REPEAT and arg[:2] == (0, 1):
+                ends = ["", *each(arg[2])]
+            else:
+                raise ValueError(f"not a finite pattern: {pattern}")
+            out = [a + b for a in out for b in ends]
+        return out
+
+    return each(_parser.parse(pattern))
 
 
 class Finder:
@@ -109,24 +148,33 @@ class Finder:
         import ahocorasick
 
         self.given, self.family = given, family
-        # cheap test of whether a text can hold an item at all: names, cues and signs, on blank-collapsed lower case
+        # cheap test of whether a text can hold an item at all, on blank-collapsed lower case: what every pattern needs,
+        # as (length, starts a word, what has to follow: nothing, a digit, or the end of the word)
         self.triggers = ahocorasick.Automaton()
-        signs = "@|(at)|[at]|{at}| dot |( at )|[ at ]".split("|")
-        cues = [
-            "my name is", "name is", "sign it with", "signed by", "letter is for", "got this from", "regards", "m'appelle", "m’appelle", "me llamo",
-            "ich heiße", "ich heisse", "mi chiamo", "me chamo", "ik heet", "meu nome", "carta es para", "carta é para", "brief ist für", "lettre est pour",
-            "lettera è per", "brief is voor", "firmado por", "to confirm", "i noted", "i will use",
-        ]
-        streets = ["straße", "strasse", "gasse ", "allee ", "platz ", "straat", "laan ", "gracht", "plein ", "calle ", "avenida", "paseo", "plaza", "rua ", "viale ", "piazza", "corso "]
-        for w in (*given, *family, *signs, *cues, *streets):
-            self.triggers.add_word(w, True)
+        signs = ["@", " dot ", *(f"{a}{b}at{c}{d}" for a in "[({" for b in ("", " ") for c in ("", " ") for d in "])}")]
+        needs = [(w, False, None) for w in (*given, *family, *signs)]
+        needs += [(w, True, "end") for words in (NAME_WORDS, ECHO_WORDS) for w in spellings(words)]
+        needs += [(w + end, True, None) for w in spellings(TITLES) for end in (" ", ". ")]
+        needs += [(w + " ", True, None) for w in spellings(STREET_KINDS)] + [(w + " ", False, "digit") for w in spellings(STREET_STEMS)]
+        kinds: dict[str, set] = {}
+        for w, starts, follows in needs:
+            kinds.setdefault(w, set()).add((len(w), starts, follows))
+        for w, checks in kinds.items():
+            self.triggers.add_word(w, tuple(checks))
         self.triggers.make_automaton()
-        self.number = re.compile(rf"\d(?:\D{{0,3}}\d){{5}}|\d[\w,.]*\s+(?:[\w.,’'-]+\s+){{0,3}}(?:{STREET_EN}|rue|boulevard|chemin|quai)(?!\w)", re.I)
 
     def may_hold(self, text: str) -> bool:
-        if self.number.search(text):
+        if _DIGITS.search(text) or _ODD_CASE.search(text):
             return True
-        return next(self.triggers.iter(" ".join(text.lower().split())), None) is not None
+        low = " ".join(text.lower().split())
+        for end, checks in self.triggers.iter(low):
+            after = low[end + 1 : end + 2]
+            for length, starts, follows in checks:
+                if starts and end >= length and _is_word(low[end - length]):
+                    continue
+                if follows is None or (after.isdecimal() if follows == "digit" else after and not _is_word(after)):
+                    return True
+        return False
 
     def items(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the items of a text, not overlapping, in order. NULL and '' have none."""
