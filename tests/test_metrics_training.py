@@ -215,3 +215,29 @@ def test_token_loss_full_counts_long_records(spark, tmp_path):
     rows = [("s", conv(n)) for n in (0, 1, 60, 61, 4096, 4097)]
     spark.createDataFrame(rows, "source string, conversation array<struct<role:string,content:string>>").write.parquet(f"{tmp_path}/interim_record.parquet")
     assert [tuple(r) for r in catalogue.QUERIES["token_loss_full"](spark, str(tmp_path)).collect()] == [("s", 0.4, 1.491825, 4, 4218)]
+
+
+def test_noise_floor_equals_brute_force(spark):
+    import hashlib
+    import statistics
+
+    rng = random.Random(5)
+    rows = [(f"c{i}", rng.choice(["g", "g", "h", None]), rng.random() < 0.8, [rng.randint(0, 1) for _ in range(3)]) for i in range(203)]
+    got = dict(map(tuple, X.noise_floor(spark.createDataFrame(rows, "id string, g string, complete boolean, vector array<int>"), ["g"], "id", 25, "7").collect()))
+    for g in ("g", "h"):
+        draws = []
+        for rep in range(25):
+            order = sorted((r for r in rows if r[1] == g), key=lambda r: hashlib.md5(f"7:{rep}:{r[0]}".encode()).hexdigest())
+            h = len(order) // 2
+            shares = [[statistics.fmean(col) for col in zip(*(r[3] for r in part if r[2]))] for part in (order[:h], order[h : 2 * h])]
+            draws.append(100 * statistics.fmean(abs(a - b) for a, b in zip(*shares)))
+        assert abs(got[g] - statistics.median(draws)) < 1e-9
+    assert set(got) == {"g", "h"}
+
+
+def test_noise_floor_full_draws_as_often_as_the_reference(spark, small_dir, monkeypatch):
+    from turnloom.plans import catalogue
+
+    asked, real = [], X.noise_floor
+    monkeypatch.setattr(X, "noise_floor", lambda *args: asked.append(args[3]) or real(*args))
+    assert catalogue.QUERIES["noise_floor_full"](spark, small_dir).count() and asked == [1000]

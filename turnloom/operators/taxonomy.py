@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnloom.functions import text as T
 from turnloom.operators.metrics import unit_bin
 from turnloom.ranking import hash_rank
+from turnloom.staging import Stage
 
 # Statuses that may be tried again.
 RETRY = ("error", "invalid", "incomplete")
+#: The ends of halves, two a group and repetition, are broadcast up to this many rows.
+BROADCAST_ROWS = 500_000
 
 
 def latest(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -137,16 +141,35 @@ def score_match(df: DataFrame, cohort: str, score: str, row_id: str, bins: int,
 def noise_floor(annotated: DataFrame, by: list[str], row_id: str, repetitions: int, seed: str) -> DataFrame:
     """(by, noise): median category difference of random disjoint halves (an odd row is left out).
 
-    Each repetition orders the rows by its own hash; ranks are bucketed. Cost grows with rows times repetitions,
-    as stated by the method.
+    Each repetition orders the rows by its own hash. Rows are counted by the first hex digit of their hash and by
+    vector; only rows of a digit that holds the end of a half are ranked one by one (in buckets). Hashing grows with
+    rows times repetitions, as stated by the method; the counts grow with repetitions times distinct vectors.
     """
-    reps = annotated.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    ranked = hash_rank(reps.withColumn("__h", T.hash_order(seed, F.concat_ws(":", "rep", row_id))), [*by, "rep"], "__h", [row_id])
-    sizes = annotated.groupBy(*by).agg(F.count("*").alias("__n"))
-    half = F.floor(F.col("__n") / 2)
-    side = F.when(F.col("rank") <= half, F.lit("a")).when(F.col("rank") <= 2 * half, F.lit("b"))
-    halves = ranked.join(sizes, by).withColumn("side", side).where(F.col("side").isNotNull() & F.col("complete"))
-    x = halves.select(*by, "rep", "side", F.posexplode("vector").alias("pos", "x"))
-    wide = x.groupBy(*by, "rep", "pos").agg(F.avg(F.when(F.col("side") == "a", F.col("x"))).alias("a"), F.avg(F.when(F.col("side") == "b", F.col("x"))).alias("b"))
-    per = wide.groupBy(*by, "rep").agg((F.avg(F.abs(F.col("a") - F.col("b"))) * 100).alias("d"))
+    keys = [*by, "rep"]
+    stage = Stage(annotated.sparkSession, "noise")
+    rows = stage.write(annotated.dropna(subset=by).select(*by, row_id, F.when(F.col("complete"), F.col("vector")).alias("vector")), "rows")
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    drawn = drawn.withColumn("__h", T.hash_order(seed, F.concat_ws(":", "rep", row_id))).withColumn("digit", F.ascii("__h"))
+    counts = drawn.groupBy(*keys, "digit", "vector").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("digit")
+    half = F.floor(F.sum("n").over(Window.partitionBy(*keys)) / 2)
+    before = F.coalesce(F.sum("n").over(upto.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    end = F.sum("n").over(upto.rangeBetween(Window.unboundedPreceding, 0))
+    counts = stage.write(counts.select("*", half.alias("half"), before.alias("before"), end.alias("end")), "counts")
+    whole = (F.col("end") <= F.col("half")) | ((F.col("before") >= F.col("half")) & (F.col("end") <= 2 * F.col("half")))
+    cut = stage.write(counts.where(~whole).select(*keys, "digit", "half", "before").distinct(), "cut")
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
+    ranked = hash_rank(drawn.join(cut, [*keys, "digit"]), [*keys, "digit"], "__h", [row_id]).withColumn("end", F.col("before") + F.col("rank"))
+    placed = counts.where(whole).select(*keys, "vector", "half", "end", "n").unionByName(ranked.select(*keys, "vector", "half", "end", F.lit(1).cast("long").alias("n")))
+    side = F.when(F.col("end") <= F.col("half"), F.lit("a")).when(F.col("end") <= 2 * F.col("half"), F.lit("b"))
+    halves = placed.withColumn("side", side).where(F.col("side").isNotNull() & F.col("vector").isNotNull())
+    few = halves.groupBy(*keys, "side", "vector").agg(F.sum("n").alias("n"))
+    x = few.select(*keys, "side", "n", F.posexplode("vector").alias("pos", "x")).where(F.col("x").isNotNull())
+
+    def mean(of: str) -> Column:
+        n = F.when(F.col("side") == of, F.col("n"))
+        return F.sum(n * F.col("x")) / F.sum(n)
+
+    wide = x.groupBy(*keys, "pos").agg(mean("a").alias("a"), mean("b").alias("b"))
+    per = wide.groupBy(*keys).agg((F.avg(F.abs(F.col("a") - F.col("b"))) * 100).alias("d"))
     return per.groupBy(*by).agg(F.median("d").alias("noise"))

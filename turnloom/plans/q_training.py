@@ -18,6 +18,8 @@ from turnloom.session import table
 PARENTS = {"expression": ("creative", "roleplay", "rewriting"), "information": ("factual", "advice"), "production": ("coding", "calculation", "planning")}
 LABELS = sorted(c for cs in PARENTS.values() for c in cs) + ["none"]
 THRESHOLD, REPETITIONS = 0.7, 20
+#: Draws of the reference's noise floor.
+FULL_REPETITIONS = 1000
 
 
 def _hierarchy(spark: SparkSession) -> DataFrame:
@@ -152,12 +154,19 @@ def maximum_match(spark: SparkSession, d: str) -> DataFrame:
                                  "vector string, n_a bigint, n_b bigint, pick_a bigint, pick_b bigint, status string")
 
 
-def noise_floor(spark: SparkSession, d: str) -> DataFrame:
-    """Median category difference of random halves per source."""
-    out = X.noise_floor(_annotated(spark, d), ["source"], "conversation_id", REPETITIONS, "42")
+def _noise_floor(spark: SparkSession, d: str, repetitions: int) -> DataFrame:
+    out = X.noise_floor(_annotated(spark, d), ["source"], "conversation_id", repetitions, "42")
     return out.select("source", F.round("noise", 6).alias("noise"))
 
 
+def noise_floor(spark: SparkSession, d: str) -> DataFrame:
+    """Median category difference of random halves per source.
+
+    Only REPETITIONS draws, as in this query's SQL; ``noise_floor_full`` has the reference's number.
+    """
+    return _noise_floor(spark, d, REPETITIONS)
+
+
 SQL_NOISE = f"""
 WITH {_ANNOTATED},
 r AS (SELECT conversation_id, source, rep, row_number() OVER (PARTITION BY source, rep ORDER BY md5('42:' || rep || ':' || conversation_id), conversation_id) AS k, count(*) OVER (PARTITION BY source, rep) AS n
@@ -169,6 +178,22 @@ SELECT source, round(median(d), 6) AS noise FROM t GROUP BY source
 """
 
 
+def noise_floor_full(spark: SparkSession, d: str) -> DataFrame:
+    """noise_floor over the reference's 1000 draws."""
+    return _noise_floor(spark, d, FULL_REPETITIONS)
+
+
+SQL_NOISE_FULL = f"""
+WITH {_ANNOTATED},
+r AS (SELECT conversation_id, source, rep, row_number() OVER (PARTITION BY source, rep ORDER BY md5('42:' || rep || ':' || conversation_id), conversation_id) AS k, count(*) OVER (PARTITION BY source, rep) AS n
+  FROM (SELECT DISTINCT conversation_id, source FROM v) CROSS JOIN (SELECT range AS rep FROM range(1000))),
+h AS (SELECT conversation_id, source, rep, CASE WHEN k <= floor(n / 2) THEN 'a' WHEN k <= 2 * floor(n / 2) THEN 'b' END AS side FROM r),
+sh AS (SELECT h.source, rep, pos, avg(x) FILTER (side = 'a') AS a, avg(x) FILTER (side = 'b') AS b FROM h JOIN v USING (conversation_id, source) WHERE complete AND side IS NOT NULL GROUP BY ALL),
+t AS (SELECT source, rep, avg(abs(a - b)) * 100 AS d FROM sh GROUP BY ALL)
+SELECT source, round(median(d), 6) AS noise FROM t GROUP BY source
+"""
+
+
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "interim_record").select("rec_id", "source", "conversation", F.concat(F.lit("You are a user from "), "source").alias("intent"))
     return sft.flip(df, "llama")
@@ -367,6 +392,7 @@ CATALOGUE = {
     "match_cells": (match_cells, SQL_CELLS),
     "maximum_match": (maximum_match, None),
     "noise_floor": (noise_floor, SQL_NOISE),
+    "noise_floor_full": (noise_floor_full, SQL_NOISE_FULL),
     "sft_flip": (sft_flip, SQL_FLIP),
     "token_loss": (token_loss, SQL_LOSS),
     "token_loss_full": (token_loss_full, SQL_LOSS_FULL),
