@@ -67,6 +67,13 @@ def test_expressions_equal_python(spark):
             assert r["deleted"] == delete_markers(s), s
 
 
+def test_markers_nested_deeper_than_the_unrolled_passes(spark):
+    rows = [("a " + "[your" * k + "<URL>" + "answer]" * k + " b" * (k % 2),) for k in range(15)] + [(None,)]
+    got = spark.createDataFrame(rows, "s string").select("s", T.delete_markers(F.col("s")).alias("d")).collect()
+    for r in got:
+        assert r["d"] == (None if r["s"] is None else delete_markers(r["s"])), r["s"]
+
+
 def test_thinking_and_answers(spark):
     rows = [("plain ",), ("<think>x</think> y",), ("<think>x",), ("<think>a</think>b</think> c",)]
     got = [r[0] for r in spark.createDataFrame(rows, "s string").select(T.strip_thinking(F.col("s"))).collect()]

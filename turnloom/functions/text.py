@@ -94,13 +94,25 @@ def has_marker(col: Column, rules: tuple[str, ...] = MARKERS) -> Column:
 def delete_markers(col: Column, rules: tuple[str, ...] = MARKERS, passes: int = 4) -> Column:
     """Delete markers until none is left; adjoining white space becomes one blank, none at the edges.
 
-    Each pass is two JVM regex replacements. ``passes`` is unrolled; :func:`has_marker` on the result tells
-    whether a deeper nesting is left (see ``operators.conversation.assert_no_markers``). NULL stays NULL.
+    Each pass is two JVM regex replacements. ``passes`` are unrolled; a text that still holds a marker then goes
+    through further passes until it holds none. NULL stays NULL.
     """
     m, ws = alternation(rules)[4:], f"{WS_CHAR}*"
     edge = rf"(?U)\A{ws}(?:{m}{ws})+|{ws}(?:{m}{ws})+\z"
     inner = rf"(?U){ws}(?:{m}{ws})+"
-    cut = reduce(lambda c, _: F.regexp_replace(F.regexp_replace(c, edge, ""), inner, " "), range(passes), col)
+
+    def once(c: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(c, edge, ""), inner, " ")
+
+    def state(c: Column) -> Column:
+        return F.struct(c.alias("text"), has_marker(c, rules).alias("more"))
+
+    def rest(c: Column) -> Column:
+        step = lambda acc, _: F.when(acc["more"], let(once(acc["text"]), state)).otherwise(acc)
+        deep = F.aggregate(F.sequence(F.lit(1), F.length(c)), state(c), step)["text"]  # a pass shortens the text
+        return F.when(has_marker(c, rules), deep).otherwise(c)
+
+    cut = let(reduce(lambda c, _: once(c), range(passes), col), rest)
     return F.when(may_hold_marker(col), cut).otherwise(col) if rules is MARKERS else cut
 
 
