@@ -1,9 +1,9 @@
 """Problem 7: missing or wrong language labels, by compression against per-language dictionaries.
 
-Each sentence is compressed with one zstandard raw-content dictionary per language; the smallest output names
-the language, a narrow margin rejects the sentence. The dictionaries are fitted on a bounded sample of labelled
-rows (SAMPLE_ROWS per language). As labels can be wrong, a sentence enters a dictionary only where word
-statistics of the whole sample agree with its label.
+Each sentence is compressed with every zstandard raw-content dictionary of its script; the smallest output names
+the language, a narrow margin rejects the sentence, and the confidence comes from all the sizes. The dictionaries
+are fitted on a bounded sample of labelled rows (SAMPLE_ROWS per language). As labels can be wrong, a sentence
+enters a dictionary only where word statistics of the whole sample agree with its label.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +32,20 @@ LANGUAGES = {
     "zh": ("zho", "chi", "chinese"),
 }
 NO_LABEL = ("", "und", "unknown")
-#: Bounded sample for the fit: rows per labelled language, and characters used of them per language.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 600_000
+#: Bounded sample for the fit: rows per labelled language, characters used of them per language, and of one row.
+#: So the driver gets at most len(LANGUAGES) * (SAMPLE_CHARS + ROW_CHARS) characters, whatever the input.
+SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 1500, 600_000, 20_000
+#: Rows ranked per language, as a multiple of SAMPLE_ROWS: a cut-off on the hash leaves about so many.
+SPARE = 2
+#: Sentences each worker remembers with their verdict; people repeat themselves.
+CACHE = 100_000
 DICT_BYTES = 32_768
 #: Word statistics for the dictionaries: sentences a word must occur in, share of a sentence's words that must be
 #: known and most frequent under the sentence's label.
 MIN_TOKEN_SENTENCES, OWNED_SHARE = 5, 0.6
 LEVEL = 1
-#: A sentence needs so many letters (CJK characters count twice) and this margin to have a language.
+#: A sentence needs so many letters (CJK characters count twice) and this margin to have a language. Neighbouring
+#: shorter sentences of one turn are judged together, as soon as they have so many letters between them.
 MIN_LETTERS, MIN_MARGIN_BYTES, MIN_MARGIN = 12, 3, 0.08
 #: Largest share of its bytes that an accepted sentence compresses to.
 MAX_RATIO = 0.75
@@ -99,7 +106,7 @@ def _tokens(text: str) -> list[str]:
 
 
 def fit(rows: Iterable[tuple[str | None, list[str]]]) -> dict:
-    """Model from labelled rows (label, texts): dictionary bytes, scripts and acceptance ratio per language."""
+    """Model from labelled rows (label, texts): dictionary bytes and scripts per language."""
     by: dict[str, dict[str, None]] = defaultdict(dict)
     used: Counter = Counter()
     for label, texts in rows:
@@ -138,14 +145,6 @@ def fit(rows: Iterable[tuple[str | None, list[str]]]) -> dict:
             model["dicts"][lang] = "\n".join(chosen).encode()[:DICT_BYTES]
             model["scripts"][lang] = [k for k, n in kinds.items() if n * 50 >= len(chosen)]
     model["order"] = [lang for lang, _ in used.most_common() if lang in model["dicts"]]
-    held = {lang: [s for s in list(ss)[-400:] if lang in model["dicts"] and agreed(lang, s)] for lang, ss in by.items()}
-    classify = Classifier(model | {"accept": 0.0})
-    foreign = [
-        classify.size(k, s) / len(s.encode()) for lang, ss in held.items() for s in ss for k in model["dicts"]
-        if k != lang and set(model["scripts"][k]) & {script(s)}
-    ]
-    # below this ratio no sentence of the sample was compressed by a dictionary of another language
-    model["accept"] = 0.9 * min(foreign, default=0.0)
     return model
 
 
@@ -155,7 +154,8 @@ class Classifier:
     def __init__(self, model: dict):
         import zstandard as zs
 
-        self.accept, self.by_script, self.packers = model["accept"], defaultdict(list), {}
+        self.by_script, self.packers = defaultdict(list), {}
+        self.judged = lru_cache(CACHE)(self._judge)
         for lang in model["order"]:
             d = zs.ZstdCompressionDict(model["dicts"][lang], dict_type=zs.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
@@ -165,26 +165,17 @@ class Classifier:
             for kind in model["scripts"][lang]:
                 self.by_script[kind].append(lang)
 
-    def size(self, lang: str, text: str) -> int:
-        return len(self.packers[lang].compress(text.encode()))
+    def sentence(self, text: str) -> tuple[str | None, float, int]:
+        """(language or None, confidence, letters) of one sentence: every dictionary of its script is tried."""
+        return self.judged(plain(text))
 
-    def sentence(self, text: str, first: str | None = None) -> tuple[str | None, float, int]:
-        """(language or None, confidence, letters) of one sentence; ``first`` is tried before the others.
-
-        A dictionary that compresses below the accepted ratio wins without trying the rest: no sentence of the
-        fitting sample got there with a foreign dictionary.
-        """
-        p = plain(text)
+    def _judge(self, p: str) -> tuple[str | None, float, int]:
         kind = script(p)
         weight = len(p) * (2 if kind == "han" else 1)
         langs = self.by_script.get(kind, [])
         if weight < MIN_LETTERS or not langs:
             return None, 0.0, weight
         raw = p.encode()
-        if first in langs:
-            got = len(self.packers[first].compress(raw))
-            if got < self.accept * len(raw):
-                return first, 1.0, weight
         sizes = sorted((len(self.packers[k].compress(raw)), k) for k in langs)
         best, lang = sizes[0]
         gap = (sizes[1][0] - best) if len(sizes) > 1 else len(raw)
@@ -193,43 +184,73 @@ class Classifier:
             return None, confidence, weight
         return lang, confidence, weight
 
+    def _units(self, text: str) -> list[tuple[int, str | None, float, int]]:
+        """(sentences, language, confidence, letters): sentences, neighbouring short ones judged together."""
+        out, short = [], []
+        for s in sentences(text):
+            lang, conf, n = self.sentence(s)
+            if n >= MIN_LETTERS:
+                out += [(1, None, 0.0, 0) for _ in short]
+                short = []
+                out.append((1, lang, conf, n))
+                continue
+            short.append(s)
+            lang, conf, n = self.sentence(" ".join(short)) if len(short) > 1 else (None, 0.0, n)
+            if n >= MIN_LETTERS:
+                out.append((len(short), lang, conf, n))
+                short = []
+        return out + [(1, None, 0.0, 0) for _ in short]
+
     def segments(self, texts: list[str | None]) -> list[tuple[int, int, int, str | None, float, int]]:
         """(turn, first sentence, sentences, language, confidence, letters): maximal runs of one language.
 
         Rejected sentences join the run before them; a text with no accepted sentence is one run without language.
         """
         out: list[list] = []
-        last = None
         for turn, text in enumerate(texts):
-            run: list | None = None
-            for i, s in enumerate(sentences(text or "")):
-                lang, conf, n = self.sentence(s, last)
+            run, at = None, 0
+            for some, lang, conf, n in self._units(text or ""):
                 if run is not None and (lang is None or run[3] is None or lang == run[3]):
-                    run[2] += 1
+                    run[2] += some
                     if lang is not None:
                         run[3] = lang
                         run[4] += conf * n
                         run[5] += n
                 else:
-                    run = [turn, i, 1, lang, conf * n if lang else 0.0, n if lang else 0]
+                    run = [turn, at, some, lang, conf * n if lang else 0.0, n if lang else 0]
                     out.append(run)
-                last = lang or last
+                at += some
             if run is not None and run[1] == 0 and run[3] is None:  # no sentence of its own: the turn as a whole
-                lang, conf, n = self.sentence(text or "", last)
+                lang, conf, n = self.sentence(text or "")
                 if lang is not None:
-                    run[3:], last = [lang, conf * n, n], lang
+                    run[3:] = [lang, conf * n, n]
         return [(t, a, n, lang, w / c if c else 0.0, c) for t, a, n, lang, w, c in out]
 
 
 def labelled_sample(df: DataFrame) -> list[tuple[str | None, list[str]]]:
-    """At most SAMPLE_ROWS labelled rows per language, chosen by hash of the id; the only rows the driver sees."""
+    """At most SAMPLE_ROWS labelled rows per language, those with the smallest hash of their id, clipped to ROW_CHARS
+    characters each and SAMPLE_CHARS together; the only rows the driver sees.
+
+    Languages are counted first; a cut-off on the hash then leaves about SPARE * SAMPLE_ROWS rows of each to rank, so
+    a language that labels most of the table is never sorted.
+    """
     code = F.lower(F.trim(F.split("lang_label", "[-_ ]")[0]))
     known = F.create_map(*[F.lit(x) for kv in _CODES.items() for x in kv])
-    ids = df.select("rec_id", F.try_element_at(known, code).alias("code")).where(F.col("code").isNotNull())
-    by_hash = Window.partitionBy("code").orderBy(F.xxhash64("rec_id"), "rec_id")
-    chosen = ids.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE_ROWS).select("rec_id")
-    texts = user_texts(df).join(F.broadcast(chosen), "rec_id", "left_semi").orderBy(F.xxhash64("rec_id"), "rec_id")
-    return [(r["lang_label"], list(r["texts"] or [])) for r in texts.collect()]
+    named = df.withColumn("code", F.try_element_at(known, code)).where(F.col("code").isNotNull())
+    counts = named.groupBy("code").agg(F.count("*").alias("n")).collect()  # one row per language
+    span = float(2**64)
+    limit = F.lit(None).cast("double")
+    for r in counts:
+        limit = F.when(F.col("code") == r["code"], F.lit(min(1.0, SPARE * SAMPLE_ROWS / r["n"]) * span - span / 2)).otherwise(limit)
+    h = F.xxhash64("rec_id")
+    near = named.where(h.cast("double") <= limit).select("rec_id", "code", h.alias("h"))
+    order = Window.partitionBy("code").orderBy("h", "rec_id")
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_ROWS).select("rec_id", "code", "h")
+    clipped = F.substring(F.array_join("texts", "\n", ""), 1, ROW_CHARS)
+    texts = user_texts(df).join(F.broadcast(chosen), "rec_id").select("rec_id", "code", "h", "lang_label", clipped.alias("text"))
+    before = F.coalesce(F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = texts.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).orderBy("h", "rec_id")
+    return [(r["lang_label"], [r["text"]]) for r in used.select("lang_label", "text", "h", "rec_id").collect()]
 
 
 def user_texts(df: DataFrame) -> DataFrame:
