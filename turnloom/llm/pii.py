@@ -20,6 +20,10 @@ THRESHOLD = 1.0
 #: The name list is held by every worker; a longer list than this is refused (about 100 bytes a name).
 MAX_NAMES = 1_000_000
 CONTEXT = 48
+#: What a checksum adds to a score where it confirms a number, and takes off where it fails.
+CONFIRMED = 0.4
+#: What a long account-like code (18 characters or more, mostly digits) gets for its shape.
+ACCOUNT_LIKE = 0.3
 
 # Words near a span that speak for a kind (looked for just before it).
 PHONE_WORDS = r"tel|telephone|phone|mobile|cell|fax|whatsapp|call|text me(?: on)?|my number is|n[úu]mero es|num[ée]ro est|nummer ist|il mio numero|meu n[úu]mero|mijn nummer|номер|电话"
@@ -81,6 +85,18 @@ def mod97(code: str) -> bool:
     return len(code) > 4 and code.isalnum() and code.isascii() and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def checksum(code: str) -> int:
+    """1 where the checksum that a code's shape calls for confirms it, -1 where it fails, 0 where the shape has none.
+
+    Shapes: 13 to 19 digits (payment card, Luhn), two letters and two digits before 11 or more others (account, mod-97).
+    """
+    if code.isascii() and code.isdigit() and 13 <= len(code) <= 19:
+        return 1 if luhn(code) else -1
+    if len(code) >= 15 and code.isascii() and code.isalnum() and code[:2].isalpha() and code[2:4].isdigit():
+        return 1 if mod97(code) else -1
+    return 0
+
+
 _near = {
     "phone": re.compile(rf"(?<!\w)(?:{PHONE_WORDS})\W*$", re.I),
     "id": re.compile(rf"(?<!\w)(?:{ID_WORDS})\W*(?:no\.?|number)?\W*$", re.I),
@@ -209,7 +225,7 @@ class Finder:
             v = m["v"]
             digits = sum(c.isdigit() for c in v)
             if digits >= 5 and not _DATE.fullmatch(v):
-                yield m.start("v"), m.end("v"), "id_number", 1.5 + 0.5 * (luhn("".join(c for c in v if c.isdigit())) or mod97(re.sub(r"\W", "", v)))
+                yield m.start("v"), m.end("v"), "id_number", 1.5 + CONFIRMED * checksum(re.sub(r"\W", "", v))
         for name, (shape, base) in _SHAPES.items():
             for m in shape.finditer(text):
                 before = text[max(0, m.start() - CONTEXT) : m.start()]
@@ -217,7 +233,7 @@ class Finder:
                 score = base + 0.6 * bool(_near["form"].search(before) or _near["echo"].search(before) or _near["id"].search(before))
                 if name == "iban":
                     share = sum(c.isdigit() for c in code) / len(code)
-                    score += 0.6 * mod97(code) + (0.3 if share > 0.7 and len(code) >= 18 else -0.8)
+                    score += CONFIRMED * checksum(code) + (ACCOUNT_LIKE if share > 0.7 and len(code) >= 18 else -0.8)
                 if _near["not"].search(before):
                     score -= 1
                 yield m.start(), m.end(), "id_number", score
@@ -240,14 +256,14 @@ class Finder:
             elif re.fullmatch(r"\d\d/\d{3}/\d{5}", flat):
                 ident = 0.8
             elif re.fullmatch(r"(?:\d{4}[ -]?){3}\d{1,7}", flat) and len(digits) >= 13:
-                ident = 0.4 + 0.8 * luhn(digits)
+                ident = 0.8 + CONFIRMED * checksum(digits)
             elif len(digits) == 9 and flat.isdigit():
                 ident = 0.3
             phone = 0.0
             if 8 <= len(digits) <= 15:
                 phone = 1.1 if _PHONE_SHAPES.fullmatch(flat.strip()) else 0.2
             if id_cue:
-                yield m.start(), m.end(), "id_number", 1.6
+                yield m.start(), m.end(), "id_number", 1.6 + CONFIRMED * checksum(digits)
             elif phone_cue and len(digits) <= 15:
                 yield m.start(), m.end(), "phone", max(phone, 0.5) + 0.8
             else:
