@@ -142,7 +142,9 @@ def test_repeated_lines(spark):
     expect = {(i, ti, li) for i, m, c in rows for ti, t in enumerate(c or []) for li, line in enumerate((t["content"] or "").split("\n")) if (m, letters(line)) in bad}
     got = {tuple(r) for r in repeated_lines.repeated_lines(clash(df)).collect()}
     assert got == expect and expect
-    clean = {r["rec_id"]: r["conversation"] for r in repeated_lines.remove_repeated_lines(clash(df)).collect()}
+    cleaned = [{r["rec_id"]: r["conversation"] for r in repeated_lines.remove_repeated_lines(clash(df), bound=b).collect()} for b in (repeated_lines.BROADCAST_ROWS, 0)]
+    assert cleaned[0] == cleaned[1]
+    clean = cleaned[0]
     for i, m, c in rows:
         if c is None:
             assert clean[i] is None
@@ -166,6 +168,16 @@ def test_more_tied_lines_than_a_summary_holds(spark):
     assert clean == {i: "" if i < 11 else f"a line that only {word(i)} has in itself" for i in range(1, 21)}
 
 
+def test_overflowing_summaries_of_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(repeated_lines, "CAPACITY", 64)
+    rng = random.Random(3)
+    text = lambda: "\n".join("one line of its own " + "".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(100))
+    notice = "this very notice stands in a few rows"
+    rows = [(i, "m", talk(text() + ("\n" + notice if i % 40 == 0 else ""))) for i in range(1, 201)]
+    df = spark.createDataFrame(rows, f"rec_id bigint, model string, conversation {CONV}").repartition(8)
+    assert {tuple(r) for r in repeated_lines.repeated_lines(df).collect()} == {(i, 0, 100) for i in range(40, 201, 40)}
+
+
 def test_summaries_keep_every_heavy_line():
     import numpy as np
 
@@ -249,6 +261,30 @@ def test_copies(spark):
         assert {tuple(r) for r in copies.fold_copies(df, batches).collect()} == {(min(g), len(g)) for g in groups.values()}
 
 
+def test_a_kept_ledger_touches_matching_buckets_only(spark, tmp_path):
+    import glob
+
+    path = f"file://{tmp_path}/ledger"
+    day = lambda rows: spark.createDataFrame(rows, f"rec_id bigint, source string, conversation {CONV}, meta string")
+    first = [(i, "s", talk(f"text {i}", "r"), "{}") for i in range(1, 200)]
+    assert copies.fold_copies(day(first), 1, path, "monday").count() == 199
+    written = len(glob.glob(f"{tmp_path}/ledger/v1/bucket=*"))
+    assert 32 < written <= copies.Ledger(spark, path).state["buckets"]
+    late = day([(300, "s", talk("TEXT 7!", "R"), "{}"), (301, "s", talk("brand new", "r"), "{}"), (302, "s", talk("Text-7", "r"), " { } ")])
+    assert {tuple(r) for r in copies.copy_pairs(late, 1, path, "tuesday").collect()} == {(7, 300), (7, 302)}
+    assert len(glob.glob(f"{tmp_path}/ledger/v2/bucket=*")) <= 2
+    again = copies.fold_copies(late, 1, path, "tuesday")  # a delivery that comes twice counts once
+    assert {tuple(r) for r in again.where("copies > 1").collect()} == {(7, 3)} and again.count() == 200
+    assert len(copies.Ledger(spark, path).read([3]).select("bucket").distinct().collect()) == 1
+
+
+def test_a_hot_conversation_is_rebuilt_whole(spark):
+    rows = [(k, "hot", str(k), "user" if k % 2 == 0 else "ai", f"t{k}", "m") for k in range(600)]
+    rows += [(1000 + 2 * k + j, f"u{k}", str(j), ("user", "ai")[j], "x", "m") for k in range(300) for j in range(2)]
+    got = rebuild.rebuild_turns(spark.createDataFrame(rows, MSG)).collect()
+    assert len(got) == 1200 and {r["turn"] for r in got if r["url"] == "hot"} == set(range(600))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], REC)
     assert match_groups.match_groups(empty).count() == 0 and group_splits.contradicting_rows(empty).count() == 0

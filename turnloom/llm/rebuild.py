@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
+from turnloom.skew import hot_threshold, join_counted
+from turnloom.staging import Stage
 
 # Role names, compared without case.
 USER_ROLES = ("user", "human")
@@ -113,11 +115,16 @@ def dropped_conversations(df: DataFrame, op: str | None = None, version: str | N
 
 
 def rebuild_turns(df: DataFrame, op: str | None = None, version: str | None = None) -> DataFrame:
-    """(url, turn, role, content) of the usable conversations, in message form: turn = index - lowest index."""
+    """(url, turn, role, content) of the usable conversations, in message form: turn = index - lowest index.
+
+    A conversation with a third of all messages is salted in the join with its verdict.
+    """
     events = events_of(df, op, version)
-    good = verdicts(events).where(F.col("reason").isNull()).select("url", "low")
+    stage = Stage(df.sparkSession, "rebuild")
+    judged = stage.write(verdicts(events), "verdicts")
+    good = judged.where(F.col("reason").isNull()).select("url", "low", "n")
     turns = fold_events(events, ["role", "content"])
-    return turns.join(good, "url").select("url", (F.col("idx") - F.col("low")).cast("bigint").alias("turn"), "role", "content")
+    return join_counted(turns, good, ["url"], "n", F.col("idx"), hot_threshold(judged, "n")).select("url", (F.col("idx") - F.col("low")).cast("bigint").alias("turn"), "role", "content")
 
 
 def rebuild_conversations(df: DataFrame, op: str | None = None, version: str | None = None) -> DataFrame:

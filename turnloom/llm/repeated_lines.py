@@ -9,13 +9,15 @@ Pass 2 counts the candidates exactly, by a 128-bit key. Confirmed lines are remo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
+from turnloom.skew import hot_threshold, join_counted
 from turnloom.staging import Stage
 
 #: Counters per source in one partition's summary. The error of a summary is at most lines/CAPACITY.
@@ -24,6 +26,8 @@ CAPACITY = 8192
 HELD = 200_000
 #: Candidate or confirmed lists up to this many rows (16 to 64 bytes each) are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 500_000
+#: Parts of a source's set of lines, by hash.
+SLOTS = 1024
 MIN_LETTERS, MIN_ROWS, MIN_SHARE = 20, 5, 0.02
 
 
@@ -151,24 +155,43 @@ def repeated_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeated_lines(df: DataFrame, source: str = "model", row_id: str = "rec_id", conv: str = "conversation") -> DataFrame:
+def _cut(conv: Column, goes: Callable[[Column, Column, Column], Column]) -> Column:
+    """``conv`` without the lines for which ``goes(line, turn, line number)`` is true; NULL contents stay."""
+
+    def turn(t: Column, i: Column) -> Column:
+        keep = F.filter(F.split(t["content"], "\n"), lambda x, j: ~F.coalesce(goes(x, i, j), F.lit(False)))
+        return F.struct(t["role"].alias("role"), F.array_join(keep, "\n").alias("content"))
+
+    return F.transform(conv, turn)
+
+
+def remove_repeated_lines(df: DataFrame, source: str = "model", row_id: str = "rec_id", conv: str = "conversation", bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with the repeated lines cut from every turn of ``conv``; all other lines and columns are kept.
 
     Rows with a NULL source, NULL conversations and NULL contents come out unchanged; a turn whose lines are
-    all repeated keeps an empty content.
+    all repeated keeps an empty content. Up to ``bound`` confirmed lines are broadcast as per-source sets in SLOTS
+    slots by hash, so a line is looked up among few others and no row is moved. Beyond it, the places of the confirmed lines
+    are joined to their rows by ``row_id`` (unique, so no key is hot); hot lines are salted.
     """
     stage = Stage(df.sparkSession, "repeated-lines")
-    _, confirmed = confirmed_lines(stage, df, source, row_id, conv)
-    sets = confirmed.groupBy(F.col("source").alias("__source")).agg(F.collect_set("key").alias("__cut"))
-    sets = F.broadcast(sets) if confirmed.count() <= BROADCAST_ROWS else sets
-
-    def cut(t: Column) -> Column:
-        keep = F.filter(
-            F.split(t["content"], "\n"),
-            lambda x: F.coalesce(~F.array_contains(F.col("__cut"), F.unhex(F.md5(line_letters(x)))), F.lit(True)),
-        )
-        return F.struct(t["role"].alias("role"), F.array_join(keep, "\n").alias("content"))
-
-    out = df.join(sets, F.col(source) == F.col("__source"), "left")
-    cleaned = F.when(F.col("__cut").isNull(), F.col(conv)).otherwise(F.transform(F.col(conv), cut))
-    return out.withColumn(conv, cleaned).select(*[F.col(f"`{c}`") for c in df.columns])
+    occurrences, confirmed = confirmed_lines(stage, df, source, row_id, conv)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if confirmed.count() <= bound:
+        slot = lambda key: F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+        slots = confirmed.groupBy("source", slot(F.col("key")).alias("slot")).agg(F.collect_set("key").alias("keys"))
+        by = slots.groupBy(F.col("source").alias("__source")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "keys"))).alias("m"))
+        filled = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.try_element_at("m", i))
+        sets = F.broadcast(by.select("__source", filled.alias("__cut")))
+
+        def repeated(line: Column, turn: Column, number: Column) -> Column:
+            return T.let(F.unhex(F.md5(line_letters(line))), lambda key: F.array_contains(F.get(F.col("__cut"), slot(key)), key))
+
+        out = df.join(sets, F.col(source) == F.col("__source"), "left")
+        cleaned = F.when(F.col("__cut").isNull(), F.col(conv)).otherwise(_cut(F.col(conv), repeated))
+    else:
+        hits = join_counted(occurrences, confirmed, ["source", "key"], "n", F.col("id"), hot_threshold(confirmed, "n"))
+        places = hits.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct(F.col("turn").cast("int").alias("t"), F.col("line_no").cast("int").alias("l"))).alias("__at"))
+        out = df.join(places, F.col(row_id) == F.col("__id"), "left")
+        placed = lambda line, turn, number: F.array_contains(F.col("__at"), F.struct(turn.alias("t"), number.alias("l")))
+        cleaned = F.when(F.col("__at").isNull(), F.col(conv)).otherwise(_cut(F.col(conv), placed))
+    return out.withColumn(conv, cleaned).select(*columns)
