@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,30 @@ def test_encoding_round_trip(spark, corpus):
     assert encoding.garbled_documents(df.limit(0)).count() == 0
 
 
+def test_encoding_judges_short_runs_and_names_chains(corpus):
+    rows, _ = corpus
+    batch = pa.RecordBatch.from_pydict({"text": [r[2] for r in rows]})
+    counts = next(encoding._count_pairs(iter([batch])))
+    model = encoding.PairModel(counts.column("pair").to_numpy(), counts.column("n").to_numpy())
+    assert encoding.evidence(CLEAN["de"], model) == {} and encoding.evidence(CLEAN["ru"], model) == {}
+    word = next(w for w in CLEAN["fr"].split() if len(w) > 3 and sum(ord(c) > 127 for c in w) == 1)
+    one = CLEAN["fr"].replace(word, garble(word, "cp1252", "mac_roman"), 1)  # a single wrong letter
+    assert max(encoding.evidence(one, model), key=encoding.evidence(one, model).get).startswith("cp1252>") and encoding.repair(one, model, {}) == CLEAN["fr"]
+    thrice = CLEAN["fr"]
+    for _ in range(3):
+        thrice = garble(thrice, "utf-8", "cp1252")
+    found = encoding.evidence(thrice, model)
+    assert max(found, key=found.get) == encoding.THEN.join(["utf_8>cp1252"] * 3) and encoding.repair(thrice, model, {}) == CLEAN["fr"]
+
+
+def test_encoding_fields_have_their_own_priors(spark, corpus):
+    rows, truth = corpus
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    df = df.select("doc_id", "source", "text", F.when(F.col("doc_id") < 1200, F.col("text")).alias("title"))
+    out = {(r["doc_id"], r["field"]) for r in encoding.repaired_documents(df, ("text", "title")).collect()}
+    assert {d for d, f in out} == set(truth) | {6000} and {f for _, f in out} == {"text"}
+
+
 def test_llm_queries_match_their_sql(spark, small_dir):
     import glob
     import os

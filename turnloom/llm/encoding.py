@@ -1,27 +1,29 @@
 """Problem 10: garbled text from wrong character encoding, by expectation-maximisation over encoding chains.
 
-A link (true, read) means: bytes written in ``true`` were decoded as ``read``; a chain is one or more links.
-Under every link, the spans of a text that could be its result are undone, and character-pair counts of the
-whole corpus say how much commoner the undone spelling is than the one found. That evidence is weak for a
-single span; EM per source estimates how frequent each link is there and pools it. A record is garbled where the
-posterior of "clean" falls below one half, and is repaired link by link in the order of the posterior.
+A link (true, read) means: bytes written in ``true`` were decoded as ``read``; a chain is one or more links, one
+after another. Under every chain, the spans of a text that could be its result are undone, and character-pair counts
+of the whole corpus say how much commoner the undone spelling is than the one found. That evidence is weak for a
+single span; EM with the chain as latent variable estimates how frequent each chain is in a source and field, and
+so pools it. A record is garbled where the posterior of "clean" falls below one half, and is repaired chain by
+chain in the order of the posterior.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
 from turnloom.skew import hot_threshold, join_counted
 from turnloom.staging import Stage
 
@@ -30,15 +32,23 @@ UTF8_READ_AS = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "c
 BYTES_READ_AS = (
     ("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"),
     ("cp866", "cp1251"), ("cp1251", "cp866"), ("gb18030", "cp1252"), ("cp1251", "mac_roman"), ("cp1251", "cp437"),
+    ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp1252", "cp1251"),
 )
 LOSSY = "lossy"
-LINKS = tuple(f"utf_8>{w}" for w in UTF8_READ_AS) + tuple(f"{a}>{b}" for a, b in BYTES_READ_AS) + (LOSSY,)
-#: Shortest run of high characters taken for a whole word in another 8-bit encoding.
-RUN = 4
-#: EM works on counts of signatures: the SIGNATURE strongest links of a record with their evidence in about 20 levels,
-#: up to MAX_EVIDENCE. So one source has at most some 90,000 signatures, whatever the number of its records.
-MAX_EVIDENCE, SIGNATURE = 30.0, 2
-ROUNDS, EM_ROUNDS = 4, 25
+LINKS = tuple(f"utf_8>{w}" for w in UTF8_READ_AS) + tuple(f"{a}>{b}" for a, b in BYTES_READ_AS)
+#: Joins the links of a chain, the one to undo first in front.
+THEN = " then "
+#: A run of fewer high characters may well be right as it stands, so shorter ones under an 8-bit link count for and against it.
+SURE = 4
+#: From this gain on a short run counts by itself.
+PLAIN_GAIN = 4.0
+#: EM starts with this share of garbled records; it ends when that share moves by no more than TOLERANCE in any source,
+#: or after EM_ROUNDS.
+GARBLED, TOLERANCE, EM_ROUNDS = 0.02, 5e-4, 25
+#: Priors (16 to 80 bytes each) that are broadcast.
+BROADCAST_PRIORS = 200_000
+#: A chain of one more link is so much rarer at first.
+DEEPER = 0.1
 CODES = 2048
 #: Judged spans each worker remembers; words repeat, so most spans cost one look-up.
 CACHE = 200_000
@@ -96,18 +106,7 @@ def _finder(link: str) -> re.Pattern:
         return re.compile(
             f"(?:{_class(read, 0xC2, 0xDF)}{c}|{_class(read, 0xE0, 0xEF)}{c}{{2}}|{_class(read, 0xF0, 0xF4)}{c}{{3}})+"
         )
-    return re.compile(f"{_class(read, 0x80, 0xFF)}{{{RUN},}}")
-
-
-@lru_cache(64)
-def _word(read: str) -> re.Pattern:
-    return re.compile(_class(read, 0x80, 0xFF) + "+")
-
-
-@lru_cache(64)
-def _phrase(read: str) -> re.Pattern:
-    c = _class(read, 0x80, 0xFF)
-    return re.compile(rf"{c}+(?:[ ,.;:!?()-]+{c}+)*")
+    return re.compile(f"{_class(read, 0x80, 0xFF)}+")
 
 
 def _undo(link: str, span: str) -> str | None:
@@ -120,86 +119,132 @@ def _undo(link: str, span: str) -> str | None:
     return None if "�" in out else out
 
 
+def is_utf8(link: str) -> bool:
+    return link.startswith("utf_8>")
+
+
+class Span(NamedTuple):
+    """A place of a run that a chain may have made: its ends, the undone text, and how much commoner that is."""
+
+    chain: str
+    start: int
+    end: int
+    undone: str
+    gain: float
+
+
 class PairModel:
     """Mean log frequency of character pairs over the corpus, and the gain of undoing a span."""
 
-    def __init__(self, pairs: dict[int, int]):
-        self.total = sum(pairs.values()) + 1.0
-        self.pairs = pairs
-        self.judged = lru_cache(CACHE)(self._judge)
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
+        total = float(counts.sum()) + 1.0
+        self.log = np.full(CODES * CODES, math.log(0.5 / total))
+        self.log[pairs] = np.log((counts + 0.5) / total)
+        self.floor = -math.log(total)
+        self.spans = lru_cache(CACHE)(self._spans)
 
     def mean(self, text: str) -> float:
         codes = _codes(text)
-        if len(codes) < 2:
-            return -math.log(self.total)
-        keys = (codes[:-1] * CODES + codes[1:]).tolist()
-        return sum(math.log((self.pairs.get(k, 0) + 0.5) / self.total) for k in keys) / len(keys)
+        return float(self.log[codes[:-1] * CODES + codes[1:]].mean()) if len(codes) > 1 else self.floor
 
-    def _judge(self, link: str, left: str, span: str, right: str) -> tuple[str, float] | None:
-        """(undone, gain) of a span in its context of one character, at the depth of nesting that gains most.
+    def _spans(self, left: str, run: str, right: str) -> tuple[tuple[Span, ...], tuple[Span, ...]]:
+        """Spans of a run of non-ASCII characters in its context of one character, under every chain: those that count by
+        themselves, and the rest.
 
-        The gain says how much commoner the undone spelling is in the corpus; None where nothing is gained.
+        Undoing UTF-8 shortens the text, and an 8-bit link ends a chain, so chains end by themselves. Of several chains
+        from one first link to the same text the shortest counts, repeats of a link before others.
         """
-        best, undone, found = None, _undo(link, span), None
-        for _ in range(ROUNDS):
-            if undone is None:
-                break
-            found = self.mean(left + span + right) if found is None else found
-            gain = (self.mean(left + undone + right) - found) * (len(undone) + 1)
-            if gain > 0 and (best is None or gain > best[1]):
-                best = undone, gain
-            deeper = _finder(link).sub(lambda m: _undo(link, m.group()) or m.group(), undone)
-            undone = deeper if deeper != undone else None
-        return best
-
-
-@lru_cache(CACHE)
-def _places(run: str) -> tuple[tuple[str, tuple[tuple[int, int], ...]], ...]:
-    """Links that could have made a part of a run of non-ASCII characters, with the places of those parts."""
-    got = ((link, tuple(m.span() for m in _finder(link).finditer(run))) for link in LINKS[:-1])
-    return tuple((link, places) for link, places in got if places)
-
-
-_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
+        out: list[Span] = []
+        for link in LINKS:
+            for m in _finder(link).finditer(run):
+                start, end = m.span()
+                a, b = run[start - 1] if start else left, run[end] if end < len(run) else right
+                found, seen = None, {m.group()}
+                todo = [((link,), _undo(link, m.group()))]
+                while todo:
+                    chain, undone = todo.pop(0)
+                    if undone is None or undone in seen:
+                        continue
+                    seen.add(undone)
+                    found = self.mean(a + m.group() + b) if found is None else found
+                    gain = (self.mean(a + undone + b) - found) * (len(undone) + 1)
+                    plain = not is_utf8(link) and end - start < SURE
+                    if plain and gain > 0:  # a capital is rare as such, so a short run has to gain without its case as well
+                        low = [(a + x + b).lower() for x in (undone, m.group())]
+                        gain = min(gain, (self.mean(low[0]) - self.mean(low[1])) * (len(undone) + 1))
+                    if gain > 0 or plain:
+                        out.append(Span(THEN.join(chain), start, end, undone, gain))
+                    if undone.isascii() or not is_utf8(chain[-1]):
+                        continue
+                    for deeper in (chain[-1], *LINKS):
+                        # the link before garbled the whole span, so the next one has to explain all of it as well
+                        if (is_utf8(deeper) or len(undone) >= SURE) and _finder(deeper).sub("", undone).isascii():
+                            todo.append(((*chain, deeper), _finder(deeper).sub(lambda x, k=deeper: _undo(k, x.group()) or x.group(), undone)))
+        strong = lambda s: is_utf8(s.chain) or s.end - s.start >= SURE or s.gain >= PLAIN_GAIN
+        return tuple(s for s in out if strong(s)), tuple(s for s in out if not strong(s))
+
+
+_RUNS = re.compile(r"[^\x00-\x7f]+")
+
+
+def all_spans(text: str, model: PairModel) -> dict[str, list[Span]]:
+    """By chain, the spans of a text that speak for it, in order.
+
+    Spans whose undoing gains count, each by itself. Runs of fewer than SURE characters under an 8-bit link, which may
+    well be right as they stand, count by themselves from PLAIN_GAIN on; the rest of them only where they gain in sum.
+    """
+    out: dict[str, list[Span]] = {}
+    weak: list[tuple[int, tuple[Span, ...]]] = []
 
+    def add(at: int, s: Span) -> None:
+        out.setdefault(s.chain, []).append(Span(s.chain, at + s.start, at + s.end, s.undone, s.gain))
 
-def all_spans(text: str, model: PairModel) -> dict[str, list[tuple[int, int, str, float]]]:
-    """By link, (start, end, undone, gain) of the spans of a text whose undoing under that link gains."""
-    out: dict[str, list] = {}
     for run in _RUNS.finditer(text):
-        for link, places in _places(run.group()):
-            for a, b in places:
-                start, end = run.start() + a, run.start() + b
-                if got := model.judged(link, text[start - 1 : start] if start else " ", text[start:end], text[end : end + 1] or " "):
-                    out.setdefault(link, []).append((start, end, *got))
+        at, end = run.span()
+        strong, rest = model.spans(text[at - 1] if at else " ", run.group(), text[end] if end < len(text) else " ")
+        for s in strong:
+            add(at, s)
+        if rest:
+            weak.append((at, rest))
+    if weak:
+        sums: dict[str, float] = {}
+        same = {id(rest): rest for _, rest in weak}
+        for key, n in Counter(id(rest) for _, rest in weak).items():
+            for s in same[key]:
+                sums[s.chain] = sums.get(s.chain, 0.0) + n * s.gain
+        gaining = {chain for chain, total in sums.items() if total > 0}
+        for at, rest in weak if gaining else ():
+            for s in rest:
+                if s.chain in gaining:
+                    add(at, s)
+        for chain in gaining:
+            out[chain].sort(key=lambda s: s.start)
     return out
 
 
-def evidence(text: str, model: PairModel, most: float = math.inf) -> dict[str, float]:
-    """Total gain per link, up to ``most``; each U+FFFD counts as lossy evidence, which nothing can undo."""
-    got = {link: min(sum(m[3] for m in marks), most) for link, marks in all_spans(text, model).items()}
+def evidence(text: str, model: PairModel) -> dict[str, float]:
+    """Total gain per chain; each U+FFFD counts as lossy evidence, which nothing can undo."""
+    got = {chain: sum(s.gain for s in spans) for chain, spans in all_spans(text, model).items()}
     if n := text.count("\ufffd"):
-        got[LOSSY] = min(10.0 * n, most)
+        got[LOSSY] = 10.0 * n
     return got
 
 
+def start_prior(chain: str) -> float:
+    return GARBLED / (len(LINKS) + 1) * DEEPER ** chain.count(THEN)
+
+
 def repair(text: str, model: PairModel, priors: dict[str, float]) -> str:
-    """Undo the most probable link, again and again: nested and mixed chains unwind in up to ROUNDS links."""
-    for _ in range(ROUNDS):
+    """Undo the most probable chain, again and again, until nothing gains or a text comes up again."""
+    seen = set()
+    while text not in seen:
+        seen.add(text)
         found = all_spans(text, model)
         if not found:
             break
-        total = {k: sum(m[3] for m in v) + math.log(priors.get(k, 1e-6)) for k, v in found.items()}
-        link = max(LINKS[:-1], key=lambda k: total.get(k, -math.inf))
-        marks = found[link]
-        if link.startswith("utf_8>"):
-            for start, end, undone, _ in reversed(marks):
-                text = text[:start] + undone + text[end:]
-        else:  # short words beside a found one, with nothing but blanks and punctuation between, go with it
-            starts = [m[0] for m in marks]
-            for m in reversed(list(_phrase(link.split(">")[1]).finditer(text))):
-                if bisect_left(starts, m.end()) > bisect_left(starts, m.start()):
-                    text = text[: m.start()] + _word(link.split(">")[1]).sub(lambda w: _undo(link, w.group()) or w.group(), m.group()) + text[m.end() :]
+        chain = max(sorted(found), key=lambda k: sum(s.gain for s in found[k]) + math.log(priors.get(k, start_prior(k))))
+        for s in reversed(found[chain]):
+            text = text[: s.start] + s.undone + text[s.end :]
     return text
 
 
@@ -215,92 +260,146 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bins[at])], ["pair", "n"])
 
 
-def pair_counts(docs: DataFrame) -> dict[int, int]:
-    """Character-pair counts over every text with a non-ASCII character; at most CODES*CODES (2**22) numbers."""
+def pair_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts): character pairs over every text with a non-ASCII character, as two arrays of at most CODES * CODES
+    (2**22) numbers, so 48 MB whatever the corpus."""
     parts = docs.select("text").mapInArrow(_count_pairs, "pair bigint, n bigint")
-    return {r["pair"]: r["n"] for r in parts.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    rows = parts.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    return rows["pair"].to_numpy(np.int32), rows["n"].to_numpy(np.int64)
+
+
+EVIDENCE = "array<struct<chain:string,gain:double>>"
 
 
-def _weigh(pairs: dict[int, int]):
+def _weigh(pairs: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PairModel(pairs)
-        kind = pa.list_(pa.struct([("link", pa.string()), ("gain", pa.float64())]))
+        model = PairModel(*pairs)
+        kind = pa.list_(pa.struct([("chain", pa.string()), ("gain", pa.float64())]))
         for batch in batches:
             column = batch.column("text")
             batch = batch.filter(pc.invert(pc.fill_null(pc.string_is_ascii(column), True)))
-            found = [[{"link": k, "gain": v} for k, v in evidence(t, model, MAX_EVIDENCE).items()] for t in batch.column("text").to_pylist()]
-            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(found, kind)], ["doc_id", "source", "evidence"])
+            found = [[{"chain": k, "gain": v} for k, v in evidence(t, model).items()] for t in batch.column("text").to_pylist()]
+            out = pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("doc_id", "field", "source")] + [pa.array(found, kind)], ["doc_id", "field", "source", "evidence"])
             yield out.filter(pa.array([bool(f) for f in found], pa.bool_()))
 
     return run
 
 
-def _em(rows: pd.DataFrame) -> pd.DataFrame:
-    """Priors of the links in one source from its counts of evidence signatures (bounded, see SIGNATURE)."""
-    gains = np.full((len(rows), len(LINKS) + 1), -np.inf)
-    gains[:, 0] = 0.0
-    for i, sig in enumerate(rows["sig"]):
-        for e in sig:
-            gains[i, 1 + LINKS.index(e["link"])] = e["gain"]
-    n = rows["n"].to_numpy(float)
-    prior = np.array([0.98] + [0.02 / len(LINKS)] * len(LINKS))
+def fields_of(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(doc_id, field, source, text): one row per record and field. A NULL source is a source of its own."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields])).alias("f")
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), each).select("doc_id", "f.field", "source", "f.text")
+
+
+def _posterior(prior: Column, clean: Column, evidence: Column) -> Column:
+    """STRUCT<clean, chains ARRAY<STRUCT<chain, p>>> of one record, by its source's priors (a map, and that of "clean")."""
+    top = F.greatest(F.array_max(F.transform(evidence, lambda e: e["gain"])), F.lit(0.0))
+    depth = lambda c: F.size(F.split(c, THEN)) - 1
+    start = lambda c: F.lit(start_prior("")) * F.pow(F.lit(DEEPER), depth(c))
+
+    def shares(m: Column) -> Column:
+        each = F.transform(evidence, lambda e: F.struct(e["chain"].alias("chain"), (F.coalesce(F.try_element_at(prior, e["chain"]), start(e["chain"])) * F.exp(e["gain"] - m)).alias("w")))
+        return F.struct((clean * F.exp(-m)).alias("c"), each.alias("w"))
+
+    def normal(x: Column) -> Column:
+        total = x["c"] + F.aggregate(x["w"], F.lit(0.0), lambda acc, e: acc + e["w"])
+        return F.struct((x["c"] / total).alias("clean"), F.transform(x["w"], lambda e: F.struct(e["chain"].alias("chain"), (e["w"] / total).alias("p"))).alias("chains"))
+
+    return T.let(T.let(top, shares), normal)
+
+
+def _with_priors(weighed: DataFrame, priors: DataFrame, small: bool, row: Column) -> DataFrame:
+    """Records joined to the priors of their (source, field), with the posterior: broadcast where the priors are known to
+    be few, else shuffled with hot sources salted."""
+    if small:
+        joined = weighed.join(F.broadcast(priors), ["source", "field"])
+    else:
+        joined = join_counted(weighed, priors, ["source", "field"], "k", row, hot_threshold(priors, "k"))
+    return joined.withColumn("post", _posterior(F.col("prior"), F.col("p_clean"), F.col("evidence")))
+
+
+def _family(ms: Column) -> Column:
+    """Each chain's expected records, and DEEPER of its first link's family as well for a chain of several links."""
+    first = lambda c: F.element_at(F.split(c, THEN), 1)
+
+    def pooled(e: Column) -> Column:
+        kin = F.aggregate(F.filter(ms, lambda x: first(x["chain"]) == first(e["chain"])), F.lit(0.0), lambda acc, x: acc + x["m"])
+        return F.struct(e["chain"].alias("chain"), (e["m"] + F.when(first(e["chain"]) == e["chain"], 0.0).otherwise(F.lit(DEEPER) * kin)).alias("m"))
+
+    return F.transform(ms, pooled)
+
+
+def chain_priors(stage: Stage, weighed: DataFrame, sizes: DataFrame) -> tuple[DataFrame, bool]:
+    """(source, field, k, n, p_clean, prior MAP<chain, p>) by EM over all records with evidence, as distributed rounds; and
+    whether these are at most BROADCAST_PRIORS numbers.
+
+    ``sizes`` is (source, field, k, n): records with evidence and records in all. Records of equal evidence are
+    combined first. One round is a map over them and one aggregation, combined map-side to one row per source, field
+    and chain. One clean and one evenly garbled record are added, so that a source of few records keeps open priors,
+    and a chain of several links borrows from those that begin alike.
+    """
+    none = F.create_map().cast("map<string,double>")
+    equal = stage.write(weighed.groupBy("source", "field", "evidence").agg(F.count("*").alias("records")), "equal")
+    priors = stage.write(sizes.select("*", F.lit(1.0 - GARBLED).alias("p_clean"), none.alias("prior")), "priors")
+    pseudo = F.lit(start_prior("") / GARBLED) * F.pow(F.lit(DEEPER), F.size(F.split("chain", THEN)) - 1)
+    small = priors.count() <= BROADCAST_PRIORS
     for _ in range(EM_ROUNDS):
-        joint = gains + np.log(prior)
-        post = np.exp(joint - joint.max(1, keepdims=True))
-        post /= post.sum(1, keepdims=True)
-        # one clean and one evenly spread record are added: a source of few records keeps open priors
-        prior = (n @ post + np.array([1.0] + [1.0 / len(LINKS)] * len(LINKS))) / (n.sum() + 2.0)
-    return pd.DataFrame({"source": [rows["source"].iloc[0]], "total": [int(n.sum())], "priors": [list(prior)]})
+        post = _with_priors(equal, priors, small, F.xxhash64("evidence"))
+        shares = post.select("source", "field", "records", F.explode("post.chains").alias("c"))
+        mass = shares.groupBy("source", "field", "c.chain").agg(F.sum(F.col("c.p") * F.col("records")).alias("m"))
+        held = mass.groupBy("source", "field").agg(F.sum("m").alias("garbled"), F.collect_list(F.struct("chain", (F.col("m") + pseudo).alias("m"))).alias("ms"))
+        old = priors.select("source", "field", "k", "n", F.col("p_clean").alias("before"))
+        new = old.join(held, ["source", "field"], "left")
+        total = F.col("n") + 2.0
+        new = new.withColumn("p_clean", (F.col("n") - F.coalesce("garbled", F.lit(0.0)) + 1.0) / total)
+        new = new.withColumn("prior", F.coalesce(F.map_from_entries(F.transform(_family(F.col("ms")), lambda e: F.struct(e["chain"], e["m"] / total))), none))
+        before, priors = priors, stage.write(new.drop("garbled", "ms"), "priors")
+        stage.drop(before)
+        last = priors.agg(F.max(F.abs(F.col("p_clean") - F.col("before"))).alias("moved"), F.sum(F.size("prior") + 1).alias("numbers")).first()
+        small = (last["numbers"] or 0) <= BROADCAST_PRIORS
+        if (last["moved"] or 0.0) < TOLERANCE:
+            break
+    return priors.select("source", "field", "k", "n", "p_clean", "prior"), small
 
 
-def posteriors(docs: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, priors, clean): every record with evidence, its source's priors and the posterior of "clean".
+def posteriors(docs: DataFrame, fields: tuple[str, ...] = ("text",)) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """(doc_id, field, prior, clean): every record with evidence, the priors of its source and field, and the posterior
+    of "clean"; and the pair counts.
 
-    Records without a non-ASCII character, NULL and empty texts have no evidence and do not appear. A NULL
-    source is a source of its own.
+    Records without a non-ASCII character, NULL and empty texts have no evidence and do not appear.
     """
     stage = Stage(docs.sparkSession, "encoding")
-    slim = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    slim = fields_of(docs, fields)
     pairs = pair_counts(slim)
-    weighed = slim.mapInArrow(_weigh(pairs), "doc_id bigint, source string, evidence array<struct<link:string,gain:double>>")
-    weighed = stage.write(weighed, "evidence")
-    top = F.slice(F.reverse(F.array_sort(F.transform("evidence", lambda e: F.struct(e["gain"].alias("gain"), e["link"].alias("link"))))), 1, SIGNATURE)
-    level = lambda g: F.when(g < 6, F.round(g * 2) / 2).otherwise(F.round(g / 5) * 5)
-    step = F.transform(top, lambda e: F.struct(e["link"].alias("link"), level(e["gain"]).alias("gain")))
-    counts = weighed.groupBy("source", step.alias("sig")).agg(F.count("*").alias("n"))
-    some = weighed.groupBy("source").agg(F.count("*").alias("k"))
-    clean = slim.groupBy("source").agg(F.count("*").alias("m")).join(some, "source")
-    clean = clean.select("source", F.array().cast(counts.schema["sig"].dataType).alias("sig"), (F.col("m") - F.col("k")).alias("n"))
-    priors = counts.union(clean).groupBy("source").applyInPandas(_em, "source string, total bigint, priors array<double>")
-    priors = stage.write(priors.join(some, "source").withColumnRenamed("k", "n"), "priors")
-    known = F.array(*[F.lit(x) for x in LINKS])
-    joined = join_counted(weighed, priors, ["source"], "n", F.col("doc_id"), hot_threshold(priors, "n"))
-    weight = lambda e: F.get("priors", F.array_position(known, e["link"]).cast("int")) * F.exp(e["gain"])
-    garbled = F.aggregate("evidence", F.lit(0.0), lambda acc, e: acc + weight(e))
-    return joined.select("doc_id", "priors", (F.get("priors", F.lit(0)) / (F.get("priors", F.lit(0)) + garbled)).alias("clean")), pairs
-
-
-def garbled_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id) of the documents that hold the result of a wrong decoding, restorable or not."""
-    return posteriors(docs)[0].where(F.col("clean") < 0.5).select("doc_id")
-
-
-def _repairer(pairs: dict[int, int]):
+    weighed = stage.write(slim.mapInArrow(_weigh(pairs), f"doc_id bigint, field string, source string, evidence {EVIDENCE}"), "evidence")
+    some = weighed.groupBy("source", "field").agg(F.count("*").alias("k"))
+    sizes = stage.write(slim.groupBy("source", "field").agg(F.count("*").alias("n")).join(some, ["source", "field"]), "sizes")
+    priors, small = chain_priors(stage, weighed, sizes)
+    return _with_priors(weighed, priors, small, F.col("doc_id")).select("doc_id", "field", "prior", F.col("post.clean").alias("clean")), pairs
+
+
+def garbled_documents(docs: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(doc_id) of the documents that hold the result of a wrong decoding in a field, restorable or not."""
+    return posteriors(docs, fields)[0].where(F.col("clean") < 0.5).select("doc_id").distinct()
+
+
+def _repairer(pairs: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PairModel(pairs)
+        model = PairModel(*pairs)
         for batch in batches:
-            priors = [dict(zip(LINKS, p[1:])) for p in batch.column("priors").to_pylist()]
+            priors = [dict(p or ()) for p in batch.column("prior").to_pylist()]
             texts = [repair(t, model, p) for t, p in zip(batch.column("text").to_pylist(), priors)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(["�" not in t for t in texts])],
-                ["doc_id", "text", "restored"],
+                [batch.column("doc_id"), batch.column("field"), pa.array(texts, pa.string()), pa.array(["\ufffd" not in t for t in texts])],
+                ["doc_id", "field", "text", "restored"],
             )
 
     return run
 
 
-def repaired_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, restored) of the garbled documents; ``restored`` is false where characters are lost."""
-    found, pairs = posteriors(docs)
-    hit = docs.select("doc_id", "text").join(found.where(F.col("clean") < 0.5), "doc_id").drop("clean")
-    return hit.mapInArrow(_repairer(pairs), "doc_id bigint, text string, restored boolean")
+def repaired_documents(docs: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(doc_id, field, text, restored) of the garbled fields; ``restored`` is false where characters are lost."""
+    found, pairs = posteriors(docs, fields)
+    hit = fields_of(docs, fields).drop("source").join(found.where(F.col("clean") < 0.5), ["doc_id", "field"]).drop("clean")
+    return hit.mapInArrow(_repairer(pairs), "doc_id bigint, field string, text string, restored boolean")

@@ -21,7 +21,7 @@ THRESHOLD = 1.0
 MAX_NAMES = 1_000_000
 CONTEXT = 48
 #: What a checksum adds to a score where it confirms a number, and takes off where it fails.
-CONFIRMED = 0.4
+CONFIRMED, FAILED = 0.6, 0.4
 #: What a long account-like code (18 characters or more, mostly digits) gets for its shape.
 ACCOUNT_LIKE = 0.3
 
@@ -97,6 +97,11 @@ def checksum(code: str) -> int:
     return 0
 
 
+def checked(code: str) -> float:
+    """What a code's checksum does to its score."""
+    return {1: CONFIRMED, -1: -FAILED, 0: 0.0}[checksum(code)]
+
+
 _near = {
     "phone": re.compile(rf"(?<!\w)(?:{PHONE_WORDS})\W*$", re.I),
     "id": re.compile(rf"(?<!\w)(?:{ID_WORDS})\W*(?:no\.?|number)?\W*$", re.I),
@@ -225,7 +230,7 @@ class Finder:
             v = m["v"]
             digits = sum(c.isdigit() for c in v)
             if digits >= 5 and not _DATE.fullmatch(v):
-                yield m.start("v"), m.end("v"), "id_number", 1.5 + CONFIRMED * checksum(re.sub(r"\W", "", v))
+                yield m.start("v"), m.end("v"), "id_number", 1.5 + checked(re.sub(r"\W", "", v))
         for name, (shape, base) in _SHAPES.items():
             for m in shape.finditer(text):
                 before = text[max(0, m.start() - CONTEXT) : m.start()]
@@ -233,7 +238,7 @@ class Finder:
                 score = base + 0.6 * bool(_near["form"].search(before) or _near["echo"].search(before) or _near["id"].search(before))
                 if name == "iban":
                     share = sum(c.isdigit() for c in code) / len(code)
-                    score += CONFIRMED * checksum(code) + (ACCOUNT_LIKE if share > 0.7 and len(code) >= 18 else -0.8)
+                    score += checked(code) + (ACCOUNT_LIKE if share > 0.7 and len(code) >= 18 else -0.8)
                 if _near["not"].search(before):
                     score -= 1
                 yield m.start(), m.end(), "id_number", score
@@ -256,14 +261,14 @@ class Finder:
             elif re.fullmatch(r"\d\d/\d{3}/\d{5}", flat):
                 ident = 0.8
             elif re.fullmatch(r"(?:\d{4}[ -]?){3}\d{1,7}", flat) and len(digits) >= 13:
-                ident = 0.8 + CONFIRMED * checksum(digits)
+                ident = 0.8 + checked(digits)
             elif len(digits) == 9 and flat.isdigit():
                 ident = 0.3
             phone = 0.0
             if 8 <= len(digits) <= 15:
                 phone = 1.1 if _PHONE_SHAPES.fullmatch(flat.strip()) else 0.2
             if id_cue:
-                yield m.start(), m.end(), "id_number", 1.6 + CONFIRMED * checksum(digits)
+                yield m.start(), m.end(), "id_number", 1.6 + checked(digits)
             elif phone_cue and len(digits) <= 15:
                 yield m.start(), m.end(), "phone", max(phone, 0.5) + 0.8
             else:
