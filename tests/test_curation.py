@@ -88,7 +88,10 @@ def test_assignment_equals_greedy_loop(spark, seed):
 
 def test_build_is_sound(spark, small_dir):
     df = table(spark, small_dir, "interim_record").dropDuplicates(["source", "conv_id"])
-    corpus, counters = Q.build_corpus(df, Q.CurationConfig(sizes={"train": 12, "val": 3, "test": 4}))
+    sizes = {"train": 12, "val": 3, "test": 4}
+    with pytest.raises(ValueError, match="fewer records than wanted"):
+        Q.build_corpus(df, Q.CurationConfig(sizes=sizes))
+    corpus, counters = Q.build_corpus(df, Q.CurationConfig(sizes=sizes), strict=False)
     assert Q.corpus_violations(corpus).count() == 0
     stages = {(r["source"], r["stage"]): r["n"] for r in counters.collect()}
     assert stages[("lmsys", "english")] >= stages[("lmsys", "eligible")] > 0

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnloom.functions import text as T
 from turnloom.operators import conversation as C
@@ -30,6 +31,16 @@ class CurationConfig:
     ngram: int = 7
     template_limit: int = 100
     seed: str = "42"
+    #: With a percentage, a source's sizes are that share of its records, in the proportions of ``sizes``.
+    percent: int | None = None
+
+    def caps(self, source: str, n: int) -> dict[str, int]:
+        """Records of each split of a source with ``n`` eligible records."""
+        if source in KEPT_WHOLE:
+            return whole_source_caps(n, self.sizes)
+        if self.percent is None:
+            return self.sizes
+        return {s: n * self.percent * k // (100 * sum(self.sizes.values())) for s, k in self.sizes.items()}
 
 
 def group_namespace(source: Column) -> Column:
@@ -167,47 +178,68 @@ def whole_source_caps(n: int, sizes: dict[str, int]) -> dict[str, int]:
     return {"train": n - caps["val"] - caps["test"], **caps}
 
 
+def _bit(mask: str, split: str) -> Column:
+    return F.col(mask).bitwiseAND(F.lit(SPLIT_BITS[split])) != 0
+
+
 def assign_splits(stage: Stage, kept: DataFrame, components: DataFrame, config: CurationConfig) -> DataFrame:
     """(rec_id, source, component, split, chosen): groups are placed source by source, then cut to exact sizes.
 
     Within a source, groups come in hash order; test is filled, then val: a free, permitted group is taken while
     the records before it (assigned ones first) are fewer than the cap, so a split may overshoot by one group.
-    The rest is train. Placements hold for later sources. Seven steps of one running sum each; running sums are
-    bucketed, so no source is sorted in one task.
+    The rest is train. Placements hold for later sources.
+
+    A source leaves none of its groups open, so a group is decided at the first source that has it, and there by its
+    running sums alone. These are computed for all sources in one bucketed pass. From source to source only numbers
+    go on: how many of its records earlier decisions have put into test and val, and how many that val may hold went to test.
     """
     rows = kept.select("rec_id", "source", "presplit").join(components, "rec_id")
     masks = constraint_masks(rows)
     sizes = rows.groupBy("component").agg(F.count("*").alias("n"))
     info = stage.write(masks.join(sizes, "component"), "groups")
-    rows = join_counted(rows, info, ["component"], "n", F.col("rec_id"), hot_threshold(info, "n"))
+    threshold = hot_threshold(info, "n")
+    rows = join_counted(rows, info, ["component"], "n", F.col("rec_id"), threshold)
     own = allowed_mask(F.col("source"), F.col("presplit"))
     rows = stage.write(rows.where(own.bitwiseAND(F.col("mask")) != 0).drop("n", "conflict"), "rows")
-    single = F.when(F.col("mask") == 4, "test").when(F.col("mask") == 2, "val").when(F.col("mask") == 1, "train")
+    order = (*KEPT_WHOLE, *(s for s in SOURCES if s not in KEPT_WHOLE))
+    turn = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source"))
     groups = rows.groupBy("source", "component").agg(F.count("*").alias("n"), F.min("mask").alias("mask"))
-    groups = stage.write(groups.withColumn("h", T.hash_order(config.seed, F.concat_ws(":", "source", "component"))), "by_source")
-    totals = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    placed = stage.write(info.select("component", single.alias("split")).where(F.col("split").isNotNull()), "placed")
-    for src in (*KEPT_WHOLE, *(s for s in SOURCES if s not in KEPT_WHOLE)):
+    single = F.when(F.col("mask") == 4, "test").when(F.col("mask") == 2, "val").when(F.col("mask") == 1, "train")
+    groups = groups.select("*", turn.alias("turn"), single.alias("fixed"), T.hash_order(config.seed, F.concat_ws(":", "source", "component")).alias("h"))
+    of_group = Window.partitionBy("component")  # as many rows as sources
+    groups = stage.write(groups.withColumn("first", F.min("turn").over(of_group)), "by_source")
+    free = groups.where(F.col("fixed").isNull())
+    amount = lambda cond: F.when(cond, F.col("n")).otherwise(0)
+    sums = {"rt": amount(_bit("mask", "test")), "rv": amount(_bit("mask", "val")), "rb": amount(_bit("mask", "test") & _bit("mask", "val"))}
+    decided = running_before(free.where(F.col("turn") == F.col("first")), ["source"], hex_bucket("h"), ["h", "component"], sums)
+    decided = stage.write(decided.select("turn", "first", "component", "n", "mask", *sums), "decided")
+    later = free.where(F.col("turn") > F.col("first")).select("turn", "component", "n")
+    later = stage.write(later.join(decided.select("first", "component", "mask", *sums), "component"), "later")
+    totals = {r["source"]: r["n"] for r in groups.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    given = {(r["turn"], r["fixed"]): r["n"] for r in groups.where(F.col("fixed").isNotNull()).groupBy("turn", "fixed").agg(F.sum("n").alias("n")).collect()}
+
+    split: Column = F.lit(None).cast("string")
+    for k, src in enumerate(order, 1):
         if src not in totals:
             continue
-        caps = whole_source_caps(totals[src], config.sizes) if src in KEPT_WHOLE else config.sizes
-        mine = stage.write(groups.where(F.col("source") == src).join(placed, "component", "left"), "mine")
-        for split in ("test", "val"):
-            already = mine.where(F.col("split") == split).agg(F.sum("n")).first()[0] or 0
-            free = mine.where(F.col("split").isNull() & (F.col("mask").bitwiseAND(F.lit(SPLIT_BITS[split])) != 0))
-            run = running_before(free, ["source"], hex_bucket("h"), ["h", "component"], F.col("n"), "before")
-            take = run.where(F.col("before") + F.lit(already) < F.lit(caps[split])).select("component", F.lit(True).alias("__take"))
-            mine = mine.join(take, "component", "left")
-            mine = stage.write(mine.withColumn("split", F.when(F.col("__take"), F.lit(split)).otherwise(F.col("split"))).drop("__take"), "mine")
-        new = mine.select("component", F.coalesce("split", F.lit("train")).alias("split"))
-        placed = stage.write(placed.join(new, "component", "left_anti").unionByName(new), "placed")
-    named = placed.join(info.select("component", "n"), "component")
-    rows = join_counted(rows, stage.write(named, "named"), ["component"], "n", F.col("rec_id"), hot_threshold(info, "n")).drop("n")
+        caps = config.caps(src, totals[src])
+        placed = {r["s"]: r["n"] for r in later.where(F.col("turn") == k).groupBy(split.alias("s")).agg(F.sum("n").alias("n")).collect()}
+        room = {s: caps[s] - given.get((k, s), 0) - placed.get(s, 0) for s in ("test", "val")}
+        open_ = F.col("rt") < F.lit(room["test"])
+        both = decided.where((F.col("turn") == k) & _bit("mask", "test") & _bit("mask", "val") & open_).agg(F.sum("n")).first()[0] or 0
+        to_test = _bit("mask", "test") & open_
+        before = F.col("rv") - F.when(open_, F.col("rb")).otherwise(F.lit(both))
+        here = F.when(to_test, "test").when(_bit("mask", "val") & (before < F.lit(room["val"])), "val").otherwise("train")
+        split = F.when(F.col("first") == k, here).otherwise(split)
+    fixed = info.select("component", "n", single.alias("split")).where(F.col("split").isNotNull())
+    named = decided.select("component", split.alias("split")).join(info.select("component", "n"), "component").unionByName(fixed)
+    rows = join_counted(rows, stage.write(named, "named"), ["component"], "n", F.col("rec_id"), threshold).drop("n")
     rows = rows.withColumn("h", T.hash_order(config.seed, F.col("rec_id")))
     ranked = hash_rank(stage.write(rows, "assigned"), ["source", "split"], "h", ["rec_id"])
     cap = F.lit(0)
-    for s in SPLITS:
-        cap = F.when(F.col("split") == s, F.lit(config.sizes[s])).otherwise(cap)
+    for src, n in totals.items():
+        for s, most in config.caps(src, n).items():
+            cap = F.when((F.col("source") == src) & (F.col("split") == s), F.lit(most)).otherwise(cap)
     return ranked.select("rec_id", "source", "component", "split", (F.col("source").isin(*KEPT_WHOLE) | (F.col("rank") <= cap)).alias("chosen"))
 
 
@@ -242,11 +274,21 @@ def corpus_violations(corpus: DataFrame) -> DataFrame:
     )
 
 
-def build_corpus(records: DataFrame, config: CurationConfig = CurationConfig()) -> tuple[DataFrame, DataFrame]:
-    """(corpus, counters): filters, groups and splits in one call; the corpus has split and the clean_* columns."""
+def build_corpus(records: DataFrame, config: CurationConfig = CurationConfig(), strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(corpus, counters): filters, groups and splits in one call; the corpus has split and the clean_* columns.
+
+    With ``strict`` a source with fewer records in a split than its size is an error, as in the reference's build.
+    """
     stage = Stage(records.sparkSession, "curation")
     kept, counters = filter_records(stage, records, config)
-    splits = assign_splits(stage, kept, stage.write(link_groups(stage, kept), "components"), config)
+    splits = stage.write(assign_splits(stage, kept, stage.write(link_groups(stage, kept), "components"), config), "splits")
+    if strict:
+        pools = {(r["source"], r["split"]): r["n"] for r in splits.groupBy("source", "split").agg(F.count("*").alias("n")).collect()}
+        for src in {s for s, _ in pools} - set(KEPT_WHOLE):
+            caps = config.caps(src, sum(n for (s, _), n in pools.items() if s == src))
+            short = {s: (pools.get((src, s), 0), most) for s, most in caps.items() if pools.get((src, s), 0) < most}
+            if short:
+                raise ValueError(f"{src}: fewer records than wanted (has, wants): {short}")
     return kept.join(splits.where("chosen").select("rec_id", "split"), "rec_id"), counters
 
 

@@ -88,10 +88,11 @@ def length_buckets(df: DataFrame, length: str, row_id: str, batch_size: int, wor
     """Add batch (by length, then id; ``batch_size`` rows each) and worker = batch mod world.
 
     With ``drop_last`` the rows of an incomplete last batch, and of batches beyond a multiple of ``world``, go.
-    ``row_id`` is an integer; a length shared by very many rows is ranked in ranges of ID_RANGE ids.
+    ``row_id`` is an integer; a length shared by very many rows is ranked in ranges of ID_RANGE ids. Totals are summed
+    over the ranges of each length, then over the lengths, so one task never gets more rows than there are lengths.
     """
-    bucket = F.struct(F.col(length), F.floor(F.col(row_id) / ID_RANGE))
-    run = running_before(df.withColumn("__g", F.lit(0)), ["__g"], bucket, [row_id], F.lit(1), "__r").drop("__g")
+    ranges = F.floor(F.col(row_id) / ID_RANGE)
+    run = running_before(df, [], ranges, [row_id], F.lit(1), "__r", coarse=F.col(length))
     out = run.withColumn("batch", F.floor(F.col("__r") / batch_size)).withColumn("worker", F.pmod("batch", F.lit(world)).cast("int")).drop("__r")
     if not drop_last:
         return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,26 +17,43 @@ def hex_bucket(order: str) -> Column:
     return F.substring(F.col(order), 1, HEX_DIGITS)
 
 
-def running_before(df: DataFrame, parts: list[str], bucket: Column, order: list[str], value: Column, out: str) -> DataFrame:
+def running_before(df: DataFrame, parts: list[str], bucket: Column, order: list[str], value: Column | dict[str, Column], out: str = "",
+                   coarse: Column | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before each row, within ``parts``, in ``bucket``, ``order``.
 
     ``bucket`` must be non-decreasing along the order. Bucket totals are pre-aggregated and summed over the few
-    buckets of a group; only rows of one bucket are sorted together. ``order`` should be total; 0 on first rows.
+    buckets of a group; only rows of one bucket are sorted together. ``order`` should be total; 0 on first rows. Where
+    a group has very many buckets, ``coarse`` (non-decreasing as well) cuts them into runs that are summed one by one.
+    A dict of values, by name, gives several sums in one pass.
     """
-    tagged = df.withColumn("__b", bucket).withColumn("__v", value)
-    keys = [*parts, "__b"]
-    totals = tagged.groupBy(*keys).agg(F.sum("__v").alias("__t"))
-    earlier = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__t").over(earlier), F.lit(0))).drop("__t")
-    totals = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__before")
-    match = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    tagged = tagged.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    joined = tagged.join(totals, cond)
-    return joined.withColumn(out, F.col("__before") + F.col("__in")).select(*df.columns, out)
+    values = value if isinstance(value, dict) else {out: value}
+    tagged = df.withColumn("__sumb", bucket).withColumn("__sumc", coarse if coarse is not None else F.lit(0))
+    tagged = tagged.withColumns({f"__sumv{i}": v for i, v in enumerate(values.values())})
+    k = range(len(values))
+    upto = Window.unboundedPreceding, -1
+
+    def earlier(totals: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        over = Window.partitionBy(*within).orderBy(by).rowsBetween(*upto)
+        return totals.withColumns({f"{name}{i}": F.coalesce(F.sum(f"__sumt{i}").over(over), F.lit(0)) for i in k})
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        renamed = right.select(*[F.col(c).alias(f"__sumk{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+        match = [F.col(c).eqNullSafe(F.col(f"__sumk{i}")) for i, c in enumerate(on)]
+        return left.join(renamed, reduce(lambda a, b: a & b, match)).drop(*[f"__sumk{i}" for i in range(len(on))])
+
+    keys = [*parts, "__sumc", "__sumb"]
+    totals = tagged.groupBy(*keys).agg(*[F.sum(f"__sumv{i}").alias(f"__sumt{i}") for i in k])
+    totals = earlier(totals, [*parts, "__sumc"], "__sumb", "__sumin")
+    if coarse is not None:
+        runs = totals.groupBy(*parts, "__sumc").agg(*[F.sum(f"__sumt{i}").alias(f"__sumt{i}") for i in k])
+        runs = earlier(runs, parts, "__sumc", "__sumr").drop(*[f"__sumt{i}" for i in k])
+        totals = joined(totals, runs, [*parts, "__sumc"])
+        totals = totals.withColumns({f"__sumin{i}": F.col(f"__sumin{i}") + F.col(f"__sumr{i}") for i in k})
+    totals = totals.select(*keys, *[F.col(f"__sumin{i}").alias(f"__sumbefore{i}") for i in k])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
+    tagged = tagged.withColumns({f"__sums{i}": F.coalesce(F.sum(f"__sumv{i}").over(inside), F.lit(0)) for i in k})
+    placed = joined(tagged, totals, keys)
+    return placed.select(*df.columns, *[(F.col(f"__sumbefore{i}") + F.col(f"__sums{i}")).alias(name) for i, name in enumerate(values)])
 
 
 def hash_rank(df: DataFrame, parts: list[str], order: str, tie: list[str], out: str = "rank") -> DataFrame:
