@@ -100,42 +100,55 @@ def length_buckets(df: DataFrame, length: str, row_id: str, batch_size: int, wor
     return out.where(F.col("batch") < whole)
 
 
-def token_batches(df: DataFrame, length: str, row_id: str, budget: int, most: int, parts: int) -> DataFrame:
+def _by_part(df: DataFrame, part: Column, order: list[str]) -> DataFrame:
+    """Rows with their ``part``, each part whole in one task and in order; a task may get several parts."""
+    return df.withColumn("part", part.cast("bigint")).repartition("part").sortWithinPartitions("part", *order)
+
+
+def token_batches(df: DataFrame, length: str, row_id: str, budget: int, most: int) -> DataFrame:
     """Add part and batch: length-sorted batches with count * longest <= budget and at most ``most`` rows.
 
-    Batches are cut within each of ``parts`` length ranges; with one part the cut is that of one sorted list.
+    A part holds the rows of as many binary digits of length and of one range of ID_RANGE ids, so it is the same in
+    every run and never more than ID_RANGE rows; batches are cut within parts. A row longer than the budget is a batch
+    of its own.
     """
-    width = [f.name for f in df.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, count = 0, 0
+        last, batch, count = None, 0, 0
         for rb in batches:
             ids = []
-            for n in rb.column(length).to_pylist():
+            for n, part in zip(rb.column(length).to_pylist(), rb.column("part").to_pylist()):
+                if part != last:
+                    last, batch, count = part, 0, 0
                 if count and (count >= most or (count + 1) * n > budget):
                     batch, count = batch + 1, 0
                 count += 1
                 ids.append(batch)
             yield rb.append_column("batch", pa.array(ids, pa.int64()))
 
-    ranged = df.repartitionByRange(parts, length, row_id).sortWithinPartitions(length, row_id)
-    out = ranged.mapInArrow(run, StructType([*df.schema.fields, StructField("batch", LongType())]))
-    return out.select(*width, F.spark_partition_id().alias("part"), "batch")
+    digits = F.char_length(F.bin(F.col(length)))
+    parted = _by_part(df, digits * 1_000_000 + F.floor(F.col(row_id) / ID_RANGE), [length, row_id])
+    return parted.mapInArrow(run, StructType([*parted.schema.fields, StructField("batch", LongType())]))
 
 
-def packs(df: DataFrame, length: str, row_id: str, chunk: int, parts: int, emit_tail: bool = False) -> DataFrame:
+def packs(df: DataFrame, length: str, row_id: str, chunk: int, emit_tail: bool = False) -> DataFrame:
     """Add part and pack: samples in id order share a pack while its tokens stay below ``chunk``; none is split.
 
-    As in the reference, the last pack of a part is dropped unless ``emit_tail``, a first sample of ``chunk`` or
-    more tokens opens after an empty pack (number skipped), and a pack and sample of 2*chunk or more are an error.
+    A part is a range of ID_RANGE ids. As in the reference, the last pack of a part is dropped unless ``emit_tail``, a
+    first sample of ``chunk`` or more tokens opens after an empty pack (number skipped), and a pack and sample of
+    2*chunk or more are an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, held, buffer = 0, 0, []
+        last, pack, held, buffer = None, 0, 0, []
         schema = None
         for rb in batches:
             schema = rb.schema
-            for i, n in enumerate(rb.column(length).to_pylist()):
+            for i, (n, part) in enumerate(zip(rb.column(length).to_pylist(), rb.column("part").to_pylist())):
+                if part != last:
+                    if emit_tail and buffer:
+                        yield _packed(buffer, schema, pack)
+                    last, pack, held, buffer = part, 0, 0, []
                 if held + n >= chunk:
                     if held + n >= 2 * chunk:
                         raise ValueError("sample too large")
@@ -147,9 +160,8 @@ def packs(df: DataFrame, length: str, row_id: str, chunk: int, parts: int, emit_
         if emit_tail and buffer:
             yield _packed(buffer, schema, pack)
 
-    ranged = df.repartitionByRange(parts, row_id).sortWithinPartitions(row_id)
-    out = ranged.mapInArrow(run, StructType([*df.schema.fields, StructField("pack", LongType())]))
-    return out.select(*df.columns, F.spark_partition_id().alias("part"), "pack")
+    parted = _by_part(df, F.floor(F.col(row_id) / ID_RANGE), [row_id])
+    return parted.mapInArrow(run, StructType([*parted.schema.fields, StructField("pack", LongType())]))
 
 
 def _packed(rows: list[pa.RecordBatch], schema: pa.Schema, pack: int) -> pa.RecordBatch:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnloom.functions import text as T
+from turnloom.operators.integer import NotCertified, maximise
 from turnloom.operators.metrics import unit_bin
 from turnloom.ranking import hash_rank
 from turnloom.staging import Stage
@@ -79,48 +80,31 @@ def match_cells(a: DataFrame, b: DataFrame, vector: str = "vector") -> DataFrame
     return both.withColumn("n", F.least("n_a", "n_b"))
 
 
-def maximum_match(cells: list[tuple[tuple[int, ...], int, int]], search_limit: int = 300_000) -> tuple[list[tuple[int, int]], str]:
-    """Per-cell picks (z_a, z_b) that keep most rows with equal counts and equal per-feature totals; and a status.
+def maximum_match(cells: list[tuple[tuple[int, ...], int, int]], seconds: float = 1800.0) -> list[tuple[int, int]]:
+    """Per-cell picks (z_a, z_b), proved to keep most rows with equal counts and equal per-feature totals.
 
-    ``cells`` is :func:`match_cells` as (vector, n_a, n_b): few distinct vectors, whatever the number of rows. Only
-    the difference d = z_a - z_b of a cell matters to the constraints, and min(n_a, n_b + d) rows are then best, so
-    the search is depth-first over d with bounds on what the cells to come can balance and add. It starts from the
-    cell-wise minimum, which is always feasible. ``optimal`` when the search ended or the smaller side is used up,
-    ``lower_bound`` when ``search_limit`` nodes were not enough.
+    ``cells`` is :func:`match_cells` as (vector, n_a, n_b): few distinct vectors, whatever the number of rows. The
+    integer program is solved exactly; NotCertified where ``seconds`` do not do for the proof, and where only the
+    empty selection is feasible.
     """
-    order = sorted(range(len(cells)), key=lambda i: -(cells[i][1] + cells[i][2]))
-    rows = [((1, *cells[i][0]), cells[i][1], cells[i][2]) for i in order]
-    width = len(rows[0][0]) if rows else 0
-    up, down, more = ([[0] * width for _ in range(len(rows) + 1)] for _ in range(3))
-    for i in range(len(rows) - 1, -1, -1):
-        vec, a, b = rows[i]
-        up[i] = [x + a * v for x, v in zip(up[i + 1], vec)]
-        down[i] = [x + b * v for x, v in zip(down[i + 1], vec)]
-        more[i] = [more[i + 1][0] + a]
-    best, found = sum(min(a, b) for _, a, b in rows), [0] * len(rows)
-    top = min(sum(a for _, a, _ in rows), sum(b for _, _, b in rows))
-    stack, nodes, status = [(0, (0,) * width, 0, ())], 0, "optimal"
-    while stack and best < top:
-        i, balance, size, chosen = stack.pop()
-        nodes += 1
-        if nodes > search_limit:
-            status = "lower_bound"
-            break
-        if i == len(rows):
-            if not any(balance) and size > best:
-                best, found = size, list(chosen)
-            continue
-        if size + (more[i][0] if i < len(rows) else 0) <= best or any(x + u < 0 or x - d > 0 for x, u, d in zip(balance, up[i], down[i])):
-            continue
-        vec, a, b = rows[i]
-        for d in sorted(range(-b, a + 1), key=abs, reverse=True):  # the stack takes the smallest |d| first
-            stack.append((i + 1, tuple(x + d * v for x, v in zip(balance, vec)), size + min(a, b + d), (*chosen, d)))
-    picks = [(0, 0)] * len(cells)
-    for i, d in zip(order, found):
-        _, a, b = cells[i]
-        z = min(a, b + d)
-        picks[i] = (z, z - d)
-    return picks, status
+    of_a, of_b = ([i for i, c in enumerate(cells) if c[side]] for side in (1, 2))
+    vectors = [(1, *c[0]) for c in cells]
+    width = len(vectors[0]) if vectors else 0
+    a = [[vectors[i][f] for i in of_a] + [-vectors[i][f] for i in of_b] for f in range(width)]
+    caps = [cells[i][1] for i in of_a] + [cells[i][2] for i in of_b]
+    least = [min(c[1], c[2]) for c in cells]  # equal vectors on both sides always match
+    z = maximise([1] * len(of_a) + [0] * len(of_b), a, caps, [least[i] for i in of_a] + [least[i] for i in of_b], seconds) if caps else []
+    picks = [[0, 0] for _ in cells]
+    for k, i in enumerate(of_a):
+        picks[i][0] = z[k]
+    for k, i in enumerate(of_b):
+        picks[i][1] = z[len(of_a) + k]
+    for f in range(width):
+        if sum(v[f] * p[0] for v, p in zip(vectors, picks)) != sum(v[f] * p[1] for v, p in zip(vectors, picks)):
+            raise AssertionError("totals of the picks differ")
+    if not any(p[0] for p in picks):
+        raise NotCertified("only the empty selection fits")
+    return [tuple(p) for p in picks]
 
 
 def pick_rows(df: DataFrame, quotas: DataFrame, keys: list[str], row_id: str, seed: str) -> DataFrame:
