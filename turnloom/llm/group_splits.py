@@ -14,19 +14,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from turnloom.functions import text as T
 from turnloom.llm.match_groups import exploded_keys
 from turnloom.operators.graph import connected_components, star_links
+from turnloom.ranking import hash_rank
 from turnloom.skew import hot_threshold, join_counted
 from turnloom.staging import Stage
 
 FAN_IN = 8
 #: Most edges one union-find task takes (16 bytes each, about 200 MB with its working arrays).
 TASK_EDGES = 2_000_000
-#: Groups ranked by one task.
-RANKED_PER_TASK = 1_000_000
+#: Quotas (one or a few per size of group, 40 bytes each) that are broadcast.
+BROADCAST_QUOTAS = 500_000
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +77,9 @@ def merged_forest(stage: Stage, edges: DataFrame) -> DataFrame:
     cur, parts = stage.write(edges.mapInArrow(_local_forests, "u bigint, v bigint"), "forest"), None
     while True:
         n = cur.count()
+        # every node with an edge of its own keeps one tree edge, so more such nodes than a task takes can never merge into one
+        if n > TASK_EDGES and cur.agg(F.approx_count_distinct("u", 0.02)).first()[0] > 1.1 * TASK_EDGES:
+            break
         least = max(1, -(-n // TASK_EDGES))
         now = max(least, (parts or FAN_IN**2) // FAN_IN)
         if now == parts:
@@ -154,7 +157,7 @@ def assign_splits(df: DataFrame, targets: DataFrame, row_id: str = "rec_id") ->
 
     A set whose non-null presplits agree on one target split gets it; sets without a presplit, with
     contradicting ones, or with one that is no target are free and placed largest first into the split furthest
-    below its share. Ties break by component id order within a hash bucket, so the result is deterministic.
+    below its share. Groups of one size go in the order of the md5 of their component id, so the result is the same in every run.
     The driver holds only the distinct (size, split) classes: fewer than sqrt(2 * rows) sizes can exist.
     """
     spark = df.sparkSession
@@ -176,14 +179,10 @@ def assign_splits(df: DataFrame, targets: DataFrame, row_id: str = "rec_id") ->
     total = sum(r["n"] * r["c"] for r in classes)
     quotas = plan_splits([(r["n"], r["c"]) for r in classes if r["fixed"] is None], shares, loads, total)
     quota = spark.createDataFrame(quotas, "n bigint, split string, first bigint, last bigint")
-    buckets = max(64, sum(r["c"] for r in classes) // RANKED_PER_TASK)
-    free = sets.where(F.col("fixed").isNull()).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
-    per = free.groupBy("n", "bucket").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("n", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("n", "bucket").orderBy("component"))
-    ranked = free.withColumn("inside", inside).join(per, ["n", "bucket"]).withColumn("rank", F.col("before") + F.col("inside"))
-    placed = ranked.join(F.broadcast(quota), ["n"]).where(F.col("rank").between(F.col("first"), F.col("last"))).select("component", "n", "split")
+    free = sets.where(F.col("fixed").isNull()).withColumn("h", F.md5(F.col("component").cast("string")))
+    ranked = hash_rank(free, ["n"], "h", ["component"])
+    quota = F.broadcast(quota) if len(quotas) <= BROADCAST_QUOTAS else quota
+    placed = ranked.join(quota, ["n"]).where(F.col("rank").between(F.col("first"), F.col("last"))).select("component", "n", "split")
     fixed = sets.where(F.col("fixed").isNotNull()).select("component", "n", F.col("fixed").alias("split"))
     every = stage.write(placed.union(fixed), "placed")
     out = join_counted(rows.select("node", "component"), every, ["component"], "n", F.col("node"), hot_threshold(every, "n"))

