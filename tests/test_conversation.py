@@ -57,7 +57,7 @@ def test_roles_and_transcripts(spark):
         bad.collect()
         raise SystemExit("no error")
     except Exception as e:
-        assert "no shared assistant" in str(e)
+        assert "before any assistant turn" in str(e)
     got = spark.createDataFrame([("",), ("plain",), ("\n\nHuman: a ",)], "t string").select(P.parse_transcript(F.col("t")).alias("c")).collect()
     assert [len(r["c"]) for r in got] == [0, 0, 1] and got[2]["c"][0]["content"] == "a"
 
@@ -65,7 +65,10 @@ def test_roles_and_transcripts(spark):
 def test_prompts(spark):
     df = frame(spark, [[("user", " a "), ("assistant", "b")]])
     c = F.col("conv")
-    r = df.select(P.render_chat(c, "llama").alias("l"), P.render_chat(c, "qwen", False).alias("q"), P.intent_prompt(c, "Do it.", [("h", "i")]).alias("p")).first()
+    r = df.select(P.render_chat(c, "llama").alias("l"), P.render_chat(c, "qwen", False).alias("q"), P.intent_prompt(c, [("h", "i")], "Do it.").alias("p")).first()
     assert r["l"].startswith("<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\na<|eot_id|>") and r["l"].endswith("user<|end_header_id|>\n\n")
     assert r["q"].startswith("<|im_start|>system\nYou are Qwen") and r["q"].endswith("b<|im_end|>\n")
     assert r["p"].startswith("Do it.\n\nExample 1:") and "<user>:  a \n<assistant>: b" in r["p"]
+    assert r["p"].endswith("following conversation:\n\n<user>:  a \n<assistant>: b\n\nReply with only the intent summary and nothing else.")
+    j = df.select(P.judge_prompt(F.lit("p"), F.lit("s"), F.lit("4"), F.lit("r")).alias("j")).first()["j"]
+    assert j == "## Original problem\np\n\n## Reference solution\ns\n\n## Reference answer\n4\n\n## Assistant response\nr"

@@ -125,16 +125,3 @@ def test_generation_policies():
         raise plugins.GiveUp
 
     assert plugins.with_retries(refuse, 4, waits.append) is None and len(waits) == 2
-    history = [{"role": "user", "content": "same"}, {"role": "assistant", "content": "a"}]
-    heats = []
-    replies = iter(["same", "new"])
-    turn = plugins.user_turn(lambda t: heats.append(t) or next(replies), history, "<end>", temperature=0.9)
-    assert turn.text == "new" and heats == [0.9, pytest.approx(0.95)]
-    assert plugins.user_turn(lambda t: "same", history, "<end>").text == "same"
-    assert plugins.user_turn(lambda t: "<end>", history, "<end>").terminal
-    assert plugins.user_turn(lambda t: " ", history, "<end>").text is None
-    talk = plugins.converse(lambda h: plugins.Turn(f"u{len(h)}", False), lambda h: "a" if len(h) < 3 else None, 4)
-    assert [t["content"] for t in talk] == ["u0", "a"]
-    assert plugins.converse(lambda h: plugins.Turn("u", False), lambda h: None, 4, keep_partial=False) is None
-    assert plugins.run_unit_test("assert 1 + 1 == 2") and not plugins.run_unit_test("assert False")
-    assert not plugins.run_unit_test("while True: pass", seconds=1.0)

@@ -6,16 +6,16 @@ Nothing here loads a model. A factory is called once per Python worker and retur
 from __future__ import annotations
 
 import random
-import subprocess
-import sys
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from turnloom.operators import selection, sft
+from turnloom.simulate import many
 
 
 def language_id(factory: Callable[[], Callable[[list[str]], list[tuple[str | None, float]]]]) -> Callable[[Column], Column]:
@@ -88,76 +88,56 @@ def with_retries(call: Callable[[], str], tries: int, sleep: Callable[[float], N
     return None
 
 
-@dataclass
-class Turn:
-    text: str | None
-    terminal: bool
-    reason: str | None = None
-
-
-def user_turn(generate: Callable[[float], str], history: list[dict], end: str, check: Callable[[str, list[dict]], str | None] = lambda r, h: None,
-              temperature: float = 1.0, resamples: int = 7, check_tries: int = 32) -> Turn:
-    """One simulated user turn: the end token ends the talk; empty or repeated replies are sampled again, warmer.
+def generate_column(df: DataFrame, factory: Callable[[], Callable[[str], str]], prompt: str, out: str, tries: int = 4, workers: int = 64) -> DataFrame:
+    """Add ``out``: the service's answer to ``prompt``, NULL where it gave up. The client is made per worker.
 
-    A reply that still repeats the turn before is taken; an empty one ends the conversation. ``check`` may refuse
-    replies with a reason, up to ``check_tries`` times.
+    ``workers`` requests of a batch are under way at a time; a client of several endpoints picks one by
+    ``simulate.Spread``.
     """
-    before = next((t["content"] for t in reversed(history) if t["role"] == "user"), None)
-    reply, reason = "", None
-    for attempt in range(max(resamples + 1, check_tries)):
-        raw = generate(min(1.0, temperature + 0.05 * attempt))
-        if raw.strip().startswith(end):
-            return Turn(None, True, "end")
-        reply = raw.split(end)[0].strip()
-        reason = check(reply, history) if reply else "empty"
-        if reply and reason is None and (reply != before or attempt >= resamples):
-            return Turn(reply, end in raw)
-        if attempt >= resamples and (not reply or reason is None):
-            break
-    return Turn(reply or None, not reply, reason) if reason in (None, "empty") else Turn(None, True, reason)
-
-
-def converse(user: Callable[[list[dict]], Turn], assistant: Callable[[list[dict]], str | None], most: int = 4, keep_partial: bool = True) -> list[dict] | None:
-    """Alternate user and assistant up to ``most`` assistant turns.
-
-    A user turn without an answer is dropped (``keep_partial``) or discards the conversation (None).
-    """
-    talk: list[dict] = []
-    while sum(t["role"] == "assistant" for t in talk) < most:
-        turn = user(talk)
-        if turn.text is None:
-            break
-        talk.append({"role": "user", "content": turn.text})
-        answer = assistant(talk)
-        if answer is None:
-            return talk[:-1] if keep_partial else None
-        talk.append({"role": "assistant", "content": answer})
-        if turn.terminal:
-            break
-    return talk
-
-
-def generate_column(df: DataFrame, factory: Callable[[], Callable[[str], str]], prompt: str, out: str, tries: int = 4) -> DataFrame:
-    """Add ``out``: the service's answer to ``prompt``, NULL where it gave up. The client is made per worker."""
     fields = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
         for pdf in it:
-            yield pdf.assign(**{out: [with_retries(lambda p=p: client(p), tries) for p in pdf[prompt]]})
+            yield pdf.assign(**{out: list(many(lambda p: with_retries(lambda: client(p), tries), pdf[prompt], workers))})
 
     return df.mapInPandas(run, fields)
 
 
-def run_unit_test(program: str, seconds: float = 10.0, memory_bytes: int = 4 << 30) -> bool:
-    """Whether a Python program ends well in a subprocess with a time and memory limit (off unless called)."""
-    import resource
+def user_token_loss(samples: DataFrame, factory: Callable[[], Callable[[list[int], list[int]], tuple[float, int]]], by: list[str]) -> DataFrame:
+    """(by, nll_token_mean, ppl_token, n_conv, n_tokens): loss of the target tokens of (input_ids, labels) samples.
+
+    The factory's function gives (summed loss, number of targets) of one sample; samples without a target from
+    position 1 on, and longer ones than the limit, are left out.
+    """
+    rows = sft.within_limit(samples).where(sft.has_target(F.col("labels"))).select(*by, "input_ids", "labels")
+    fields = StructType([*rows.select(*by).schema.fields, StructField("loss", DoubleType()), StructField("tokens", LongType())])
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = factory()
+        for pdf in it:
+            got = [score(list(i), list(t)) for i, t in zip(pdf["input_ids"], pdf["labels"])]
+            yield pdf[by].assign(loss=[float(x) for x, _ in got], tokens=[int(n) for _, n in got])
 
-    def limit() -> None:
-        resource.setrlimit(resource.RLIMIT_AS, (memory_bytes, memory_bytes))
+    return selection.token_loss(rows.mapInPandas(run, fields), by, "loss", "tokens")
+
+
+def embedded(df: DataFrame, factory: Callable[[], Callable[[list[list[int]]], list[list[list[float]]]]], how: tuple[str, ...], longest: int, budget: int, most: int) -> DataFrame:
+    """(conv_id, feature, v): token vectors of (conv_id, ids) pooled in several ways; texts longer than ``longest`` are cut.
+
+    Batches hold up to ``most`` texts and ``budget`` padded tokens, shortest first. The factory's function encodes one.
+    """
+    cut = df.select("conv_id", F.slice("ids", 1, longest).alias("ids")).withColumn("n", F.size("ids"))
+    batches = sft.token_batches(cut.withColumn("row", F.monotonically_increasing_id()), "n", "row", budget, most)
+    made = "conv_id string, tokens array<array<float>>"
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = factory()
+        for pdf in it:
+            for _, one in pdf.groupby(["part", "batch"], sort=False):
+                yield pd.DataFrame({"conv_id": one["conv_id"].astype(str), "tokens": encode([list(x) for x in one["ids"]])})
 
-    try:
-        done = subprocess.run([sys.executable, "-I", "-c", program], timeout=seconds, capture_output=True, preexec_fn=limit)
-    except subprocess.TimeoutExpired:
-        return False
-    return done.returncode == 0
+    tokens = batches.select("conv_id", "ids", "part", "batch").mapInPandas(run, made)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("feature"), pooled(F.col("tokens"), h).cast("array<double>").alias("v")) for h in how]))
+    finite = F.when(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.raise_error(F.lit("non-finite feature")).cast("array<double>")).otherwise(F.col("v"))
+    return tokens.select("conv_id", each.alias("f")).select("conv_id", "f.feature", F.col("f.v").alias("v")).withColumn("v", finite)
