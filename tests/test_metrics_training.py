@@ -232,7 +232,7 @@ def test_tasks_and_intervals(spark):
 def test_schedule_and_catalogue(spark):
     rates = [r[0] for r in spark.range(0, 12).select(sft.lr_schedule(F.col("id"), 1.0, 2, 10, 0.1)).collect()]
     assert rates[0] == 0.5 and rates[1] == 1.0 and abs(rates[6] - (0.1 + 0.9 * 0.5)) < 1e-12 and rates[11] == 0.1
-    assert len(experiments.select(["binary/*"])) == 3 and len(experiments.source_pairs()) == 21
+    assert len(experiments.JOBS) == 32 and len(experiments.select(["binary_*"])) == 3 and len(experiments.source_pairs()) == 21
     with pytest.raises(ValueError):
         experiments.select(["nothing*"])
 

@@ -109,11 +109,6 @@ def has_marker(conv: Column) -> Column:
     return F.coalesce(F.exists(conv, lambda t: (t["role"] == "user") & T.has_marker(t["content"])), F.lit(False))
 
 
-def assert_no_markers(conv: Column) -> Column:
-    """The conversation, or a runtime error where unrolled marker deletion left a marker."""
-    return F.when(has_marker(conv), F.raise_error(F.lit("markers nested deeper than the unrolled passes"))).otherwise(conv)
-
-
 def pad_unanswered(conv: Column) -> Column:
     """Append an empty assistant turn to a conversation of odd length."""
     empty = F.array(F.struct(F.lit("assistant").alias("role"), F.lit("").alias("content")))
@@ -130,3 +125,16 @@ def count_features(conv: Column, with_words: bool = False) -> Column:
 def language_id_input(text: Column, max_chars: int = 3000) -> Column:
     """Text handed to a language identifier: newlines to blanks, stripped, first ``max_chars`` characters."""
     return F.substring(T.strip(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))), 1, max_chars)
+
+
+def view_rows(corpus: DataFrame, sources: list[str], view: str = "full_masked", lowercase: bool = False) -> DataFrame:
+    """(text, label, source, conv_id, n_turns, n_user_turns, n_words_user, seed_conv_id, intent_source) of a classifier's rows.
+
+    ``label`` is the position of the source in the list. Seed and intent source come from the JSON of ``meta`` and are
+    NULL for conversations that are not synthetic.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")) - 1
+    c = F.col("conversation")
+    return corpus.where(F.col("source").isin(*sources)).select(
+        serialize(c, view, lowercase).alias("text"), place.cast("int").alias("label"), "source", "conv_id", F.size(c).alias("n_turns"), n_user_turns(c).alias("n_user_turns"),
+        "n_words_user", *[F.get_json_object("meta", f"$.{k}").alias(k) for k in ("seed_conv_id", "intent_source")])

@@ -21,6 +21,8 @@ SPLITS = ("train", "val", "test")
 SPLIT_BITS = {"train": 1, "val": 2, "test": 4}
 KEPT_WHOLE = ("sharegpt",)
 MIN_SHARED_WORDS = 5
+#: Common n-grams (16 bytes of hash and a source each) that are broadcast.
+BROADCAST_GRAMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -82,10 +84,13 @@ def template_rows(df: DataFrame, text: Column, n: int, limit: int, row_id: str,
             lambda i: F.struct(F.xxhash64(F.slice(w, i, n)).alias("a"), F.xxhash64(F.lit(n), F.slice(w, i, n)).alias("b")))
         return F.when(F.size(w) >= n, every)
 
+    stage = Stage(df.sparkSession, "templates")
     grams = df.select(row_id, by, F.explode(T.let(T.words(F.lower(text)), hashes)).alias("g")).select(row_id, by, "g.a", "g.b")
     common = grams.groupBy(by, "a", "b").agg(F.count("*").alias("c")).where(F.col("c") > limit)
-    # common n-grams occur > limit times each, so they are few against the rows; AQE decides how to join and splits skew
-    return grams.join(common.select(by, "a", "b"), [by, "a", "b"], "left_semi").select(row_id).distinct()
+    common = stage.write(common.select(by, "a", "b"), "common")
+    # few as a rule (each stands in more than ``limit`` places): then they travel, and the n-grams are not shuffled again
+    common = F.broadcast(common) if common.count() <= BROADCAST_GRAMS else common
+    return grams.join(common, [by, "a", "b"], "left_semi").select(row_id).distinct()
 
 
 def shared_texts(df: DataFrame, key: str = "clean_user_hash", words: str = "clean_words") -> DataFrame:

@@ -80,6 +80,12 @@ def pad(values: Column, width: int, filler: int) -> Column:
     return F.concat(values, F.array_repeat(F.lit(filler), F.greatest(F.lit(width) - F.size(values), F.lit(0))))
 
 
+def padded_sample(ids: Column, labels: Column, width: int = MAX_TOKENS) -> Column:
+    """STRUCT<input_ids, attention_mask, labels> padded to ``width`` (0, 0 and IGNORED); a longer sample is a runtime error."""
+    made = F.struct(pad(ids, width, 0).alias("input_ids"), pad(attention_mask(ids), width, 0).alias("attention_mask"), pad(labels, width, IGNORED).alias("labels"))
+    return F.when(F.size(ids) > width, F.raise_error(F.lit("sample longer than the bucket")).cast("struct<input_ids:array<int>,attention_mask:array<int>,labels:array<int>>")).otherwise(made)
+
+
 def truncate_with_eos(ids: Column, max_len: int, eos: int) -> Column:
     return F.concat(F.slice(ids, 1, max_len - 1), F.array(F.lit(eos)))
 

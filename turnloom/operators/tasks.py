@@ -30,6 +30,11 @@ def select_tasks(pool: DataFrame, first: DataFrame, n: int, seed: str) -> DataFr
     return ranked.where(F.col("rank") <= n).select(*pool.columns)
 
 
+def in_pool_order(chosen: DataFrame, pool: DataFrame, position: str) -> DataFrame:
+    """Chosen tasks with their place in the pool, sorted by it (a task pool is small)."""
+    return chosen.join(pool.select("task_id", position), "task_id").orderBy(position)
+
+
 def reply_fault(reply: Column, copies: Column, first_token_banned: Column | None = None) -> Column:
     """NULL, or first_token, too_long, too_short, verbatim: the first check a user reply fails.
 

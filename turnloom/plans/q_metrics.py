@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
+from turnloom.operators import joins as J
 from turnloom.operators import metrics as M
 from turnloom.operators import probe as P
 from turnloom.operators import selection as S
 from turnloom.operators import taxonomy as X
+from turnloom.plans import experiments as E
 from turnloom.plans import sqlkit as K
 from turnloom.session import table
 
@@ -269,7 +271,45 @@ FROM n ab JOIN n ba ON ba.train = ab.test AND ba.test = ab.train JOIN n aa ON aa
 JOIN n bb ON bb.train = ab.test AND bb.test = ab.test WHERE ab.train < ab.test
 """
 
+def confusion_shares(spark: SparkSession, d: str) -> DataFrame:
+    """V3: confusion matrix with row shares."""
+    return E.confusion_report(_scored(spark, d), "label", "guess", CLASSES).select("truth", "guess", "n", F.round("share", 6).alias("share"))
+
+
+SQL_SHARES = f"""
+WITH t AS ({SQL_CONFUSION}) SELECT truth, guess, n, round(n / greatest(sum(n) OVER (PARTITION BY truth), 1), 6) AS share FROM t
+"""
+
+
+def score_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Least, mean and greatest score over combinations (recalls stand in for the scores, parity for the comparison)."""
+    rows = class_recalls(spark, d).withColumn("even", F.col("label") % 2 == 0)
+    return E.score_ranges(rows, ["even"], "recall").select("even", *[F.round(c, 6).alias(c) for c in ("low", "mean", "high")])
+
+
+SQL_RANGES = f"WITH t AS ({SQL_RECALLS}) SELECT label % 2 = 0 AS even, round(min(recall), 6) AS low, round(avg(recall), 6) AS mean, round(max(recall), 6) AS high FROM t GROUP BY 1"
+
+
+def selection_gains(spark: SparkSession, d: str) -> DataFrame:
+    """Gains of selected over random donors in divergence and loss (mean distance of the odds stands in for the loss)."""
+    df = _scored(spark, d).select("vec_id", "label", "odds")
+    picks = {"dsir": S.gumbel_top(df.where("label <> 1"), "odds", "vec_id", BUDGET, "0"), "random": S.uniform_top(df.where("label <> 1"), "vec_id", BUDGET, "0")}
+    mean = lambda x, m: x.agg(F.avg("odds").alias("value")).select(F.lit("one").alias("target"), F.lit(100).alias("pct"), F.lit(m).alias("method"), "value")
+    value = J.union_all([mean(p, m) for m, p in picks.items()])
+    out = E.selection_gains(value, value.withColumn("value", -F.col("value")))
+    return out.select("target", "pct", F.round("delta_kl", 3).alias("delta_kl"), F.round("delta_nll", 3).alias("delta_nll"))
+
+
+SQL_GAINS = f"""
+WITH {_LOGITS}, g AS (SELECT odds FROM p WHERE label <> 1 ORDER BY {_GUMBEL} DESC, vec_id LIMIT {BUDGET}), u AS (SELECT odds FROM p WHERE label <> 1 ORDER BY {K.order('0', 'vec_id')}, vec_id LIMIT {BUDGET}),
+gain AS (SELECT (SELECT avg(odds) FROM u) - (SELECT avg(odds) FROM g) AS k)
+SELECT 'one' AS target, 100 AS pct, round(k, 3) AS delta_kl, round(-k, 3) AS delta_nll FROM gain
+"""
+
 CATALOGUE = {
+    "confusion_shares": (confusion_shares, SQL_SHARES),
+    "score_ranges": (score_ranges, SQL_RANGES),
+    "selection_gains": (selection_gains, SQL_GAINS),
     "class_weights": (class_weights, SQL_WEIGHTS),
     "standardise": (standardise, SQL_STANDARD),
     "probe_logits": (probe_logits, f"WITH {_LOGITS} SELECT vec_id, CAST(guess AS INT) AS guess, round(top, 4) AS top FROM p"),

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from turnloom.functions import text as T
 from turnloom.operators import conversation as C
+from turnloom.operators import sft
 from turnloom.operators.prompts import parse_preference_pair
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -64,21 +65,13 @@ def sharegpt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hh_rlhf(spark: SparkSession, root: str) -> DataFrame:
-    """Preference pairs under ``root/<subset>/<split>.jsonl[.gz]``; id = subset/split/line number from 0.
-
-    A line's number is the count of lines in the file's earlier blocks plus its place in its own block, so plain
-    files may be read in many splits (gzip files are one).
-    """
+    """Preference pairs under ``root/<subset>/<split>.jsonl[.gz]``; id = subset/split/line number from 0."""
     df = spark.read.schema("chosen string, rejected string").json(f"{root}/*/*.jsonl*")
     parts = F.split(F.col("_metadata.file_path"), "/")
     split = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl(\.gz)?$", "")
     block = ["subset", "split", "at"]
-    df = df.select("*", F.element_at(parts, -2).alias("subset"), split.alias("split"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mono"))
-    blocks = df.groupBy(*block).agg(F.min("mono").alias("first"), F.count("*").alias("n"))
-    earlier = Window.partitionBy("subset", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # blocks of one file
-    blocks = blocks.select(*block, "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    df = df.join(blocks, block)
-    cid = F.concat_ws("/", "subset", "split", (F.col("before") + F.col("mono") - F.col("first")).cast("string"))
+    df = numbered_lines(df.select("*", F.element_at(parts, -2).alias("subset"), split.alias("split"), "_metadata"))
+    cid = F.concat_ws("/", "subset", "split", F.col("line").cast("string"))
     return _record(df, conv_id=cid, group_id=cid, presplit="split", conversation=parse_preference_pair(F.col("chosen"), F.col("rejected")), meta=F.to_json(F.struct("subset")))
 
 
@@ -170,13 +163,54 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def task_pool(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """(task_id, dataset, problem, gold) of a released task file (gsm8k or humaneval columns)."""
     if dataset == "gsm8k":
-        df = spark.read.schema("id bigint, question string, answer string").json(path)
-        return df.select(F.concat(F.lit("gsm8k/"), "id").alias("task_id"), F.lit(dataset).alias("dataset"), T.strip(F.col("question")).alias("problem"), T.gsm_answer(F.col("answer")).alias("gold"))
+        df = numbered_lines(spark.read.schema("question string, answer string").json(path))
+        gold = F.to_json(F.struct(T.gsm_answer(F.col("answer")).alias("answer"), F.col("answer").alias("solution")))
+        return df.select(F.concat(F.lit("gsm8k/"), F.col("line").cast("string")).alias("task_id"), F.lit(dataset).alias("dataset"), T.strip(F.col("question")).alias("problem"), gold.alias("gold"))
     df = spark.read.schema("task_id string, prompt string, test string, entry_point string, canonical_solution string").json(path)
     gold = F.to_json(F.struct("prompt", "test", "entry_point", "canonical_solution"))
     return df.select("task_id", F.lit(dataset).alias("dataset"), F.regexp_replace("prompt", r"\A\n+|\n+\z", "").alias("problem"), gold.alias("gold"))
 
 
+def numbered_lines(df: DataFrame) -> DataFrame:
+    """Add ``line``, the number of each row in its file, from 0: the rows of a file's earlier blocks and of its own before it.
+
+    So plain files may be read in many splits.
+    """
+    df = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__mono"))
+    blocks = df.groupBy("__file", "__at").agg(F.min("__mono").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("__file", "__at", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    joined = df.join(blocks, ["__file", "__at"]).withColumn("line", F.col("__before") + F.col("__mono") - F.col("__first"))
+    return joined.drop("__file", "__at", "__mono", "__first", "__before")
+
+
+# Name prefixes of the prior benchmark's tasks, and those they stand for.
+PRIOR_TASKS = {"sharded-GSM8K": "gsm8k", "sharded-HumanEval": "HumanEval"}
+
+
+def prior_task_ids(df: DataFrame) -> DataFrame:
+    """(task_id) of the pools' tasks that a prior benchmark (task_id like ``sharded-GSM8K/12``) has, each once."""
+    family = F.substring_index("task_id", "/", 1)
+    number = F.substring("task_id", F.length(family) + 2, F.length("task_id"))
+    names = F.create_map(*[F.lit(x) for kv in PRIOR_TASKS.items() for x in kv])
+    own = df.select(F.try_element_at(names, family).alias("f"), number.alias("n")).where(F.col("f").isNotNull())
+    return own.select(F.concat_ws("/", "f", "n").alias("task_id")).distinct()
+
+
+def samples(spark: SparkSession, path: str, limit: int = sft.MAX_TOKENS) -> DataFrame:
+    """Training samples (input_ids, labels, attention_mask) of a JSON-lines file: those within the limit that have a target."""
+    rows = spark.read.schema("input_ids array<int>, labels array<int>").json(path)
+    kept = sft.within_limit(rows, "input_ids", limit).where(sft.has_target(F.col("labels")))
+    return kept.withColumn("attention_mask", sft.attention_mask(F.col("input_ids")))
+
+
+def english_rows(df: DataFrame, released: bool, identify: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows in English: by the released label, or by a language identifier's first guess on the joined user text."""
+    if released:
+        return df.where(F.col("lang_label").isin(*C.ENGLISH_LABELS))
+    return df.where(identify(C.language_id_input(C.user_text(F.col("conversation"))))["lang"] == "en")
+
+
 #: Loader registry: source name to reader.
 LOADERS: dict[str, Callable[..., DataFrame]] = {
     "wildchat_1m": lambda spark, path: wildchat(spark, path, "wildchat_1m"),

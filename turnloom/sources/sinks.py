@@ -4,13 +4,30 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
 
-def write_corpus(corpus: DataFrame, path: str, form: str = "parquet") -> None:
-    """Write source=.../split=... folders; refuses to overwrite."""
-    corpus.write.mode("errorifexists").partitionBy("source", "split").format(form).save(path)
+
+def counted_write(df: DataFrame, path: str, form: str = "json", by: tuple[str, ...] = ()) -> int:
+    """Write a table and give its number of rows, counted while they are written; refuses to overwrite."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").partitionBy(*by).format(form).save(path)
+    return seen.get["n"]
+
+
+def shuffled(df: DataFrame, key: str, seed: str, files: int) -> DataFrame:
+    """Rows in the order of the seeded md5 of their key, in ``files`` ranges of it: a shuffle that every run repeats."""
+    return df.withColumn("__h", T.hash_order(seed, F.col(key))).repartitionByRange(files, "__h").sortWithinPartitions("__h", key).drop("__h")
+
+
+def write_corpus(corpus: DataFrame, path: str, form: str = "parquet", key: str | None = None, seed: str = "42", files: int = 64) -> int:
+    """Write source=.../split=... folders and give the number of rows; refuses to overwrite.
+
+    With ``key`` the rows of every folder are shuffled by its hash; one of the ``files`` ranges then gives a file a folder.
+    """
+    return counted_write(corpus if key is None else shuffled(corpus, key, seed, files), path, form, ("source", "split"))
 
 
 def manifest(counters: DataFrame) -> str:
@@ -22,7 +39,7 @@ def manifest(counters: DataFrame) -> str:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append to a log of attempts; readers take the latest per key (``operators.log.latest``)."""
+    """Append to a log of attempts; readers take the latest per key (``operators.taxonomy.latest``)."""
     rows.write.mode("append").json(path)
 
 

@@ -1,7 +1,7 @@
 """Written intermediate tables: they cut lineage and survive the loss of any executor.
 
 The tables go to the shared folder that the cluster names in ``spark.checkpoint.dir``. Only where that is
-unset (tests, a laptop) a temporary folder is made and set.
+unset on a local master (tests, a laptop) a temporary folder is made and set.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ _runs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh temporary one where none is set."""
+    """The cluster's shared checkpoint folder; where none is set, a fresh temporary one on a local master, else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
     key = sc.applicationId
     if key not in _runs:
         _runs[key] = "file://" + tempfile.mkdtemp(prefix="turnloom-")
