@@ -28,23 +28,28 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 RANKS_PER_TASK = 1_000_000
 
 
-def load_encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
-    """A tiktoken encoder from a rank file in ``folder``; nothing is trained or copied."""
+def load_encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, pattern: str | None = None):
+    """A tiktoken encoder from a rank file in ``folder``; nothing is trained or copied.
+
+    Without a ``pattern`` for splitting texts, the one of the folder's own module is taken.
+    """
     import importlib.util
 
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("tokenizer_folder", f"{folder}/__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
+    if pattern is None:
+        spec = importlib.util.spec_from_file_location("tokenizer_folder", f"{folder}/__init__.py")
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        pattern = module.PATTERN
     with open(f"{folder}/{vocabulary}", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _counting(folder: str, vocabulary: str):
+def _counting(folder: str, vocabulary: str, pattern: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(folder, vocabulary)
+        encoder = load_encoder(folder, vocabulary, pattern)
         for batch in batches:
             n = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "tokens"])
@@ -52,9 +57,9 @@ def _counting(folder: str, vocabulary: str):
     return run
 
 
-def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
     """(doc_id, tokens) over whole texts; NULL and empty texts have 0 tokens."""
-    return docs.select("doc_id", "text").mapInArrow(_counting(folder, vocabulary), "doc_id bigint, tokens bigint")
+    return docs.select("doc_id", "text").mapInArrow(_counting(folder, vocabulary, pattern), "doc_id bigint, tokens bigint")
 
 
 class _Sizes:
@@ -188,14 +193,14 @@ def pack_documents(sized: DataFrame, capacity: int) -> DataFrame:
     return placed.union(empty)
 
 
-def pack_all(docs: DataFrame, spec: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_all(docs: DataFrame, spec: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
     """:func:`pack_documents` for every row of ``spec(container, capacity_tokens)``, with the kind's name in front.
 
     Texts are tokenized once. ``spec`` lists container kinds; it is read by the driver. Rows with a NULL or
     non-positive capacity are ignored.
     """
     stage = Stage(docs.sparkSession, "packing")
-    sized = stage.write(token_counts(docs, folder, vocabulary), "sized")
+    sized = stage.write(token_counts(docs, folder, vocabulary, pattern), "sized")
     kinds = spec.where(F.col("capacity_tokens") > 0).select("container", "capacity_tokens").distinct().orderBy("container").collect()
     out = docs.sparkSession.createDataFrame([], "kind string, container bigint, slot int, doc_id bigint, part int, first_token bigint, tokens bigint")
     for r in kinds:
