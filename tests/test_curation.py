@@ -106,3 +106,9 @@ def test_nested_fractions_are_nested(spark):
 def test_fingerprint_ignores_order(spark):
     df = spark.range(50).withColumn("t", T.hash_order("a", F.col("id")))
     assert Q.dataset_fingerprint(df).first() == Q.dataset_fingerprint(df.orderBy(F.col("id").desc()).repartition(3)).first()
+
+
+def test_released_labels_have_to_be_a_list(spark):
+    metas = ['{"user_language_labels": ["en", "English"]}', '{"user_language_labels": ["en", "de"]}', '{"user_language_labels": "[\'en\']-b"}', "{}", "no json", None]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(metas)], "i int, meta string")
+    assert [r["i"] for r in df.where(Q.labels_all_english(Q.released_labels(F.col("meta")))).collect()] == [0]

@@ -118,6 +118,11 @@ def with_clean(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, *[F.col(f"__clean.{v}").alias(k) for k, v in names.items()])
 
 
+def released_labels(meta: Column) -> Column:
+    """The label list in a record's meta; NULL where there is none or it is no list."""
+    return F.from_json(meta, "user_language_labels array<string>")["user_language_labels"]
+
+
 def labels_all_english(labels: Column) -> Column:
     """True where a label list is not empty and holds English labels only."""
     return F.coalesce((F.size(labels) > 0) & F.forall(labels, lambda x: F.coalesce(x.isin(*C.ENGLISH_LABELS), F.lit(False))), F.lit(False))
@@ -135,7 +140,7 @@ def filter_records(stage: Stage, records: DataFrame, config: CurationConfig) ->
     base = base.where(C.rejection_reason(F.col("conversation")).isNull())
     earlier = base.where(F.col("source") == "wildchat_1m").select("conv_id").distinct()
     base = base.where(F.col("source") != "wildchat_4p8m").unionByName(base.where(F.col("source") == "wildchat_4p8m").join(earlier, "conv_id", "left_anti").select(*base.columns))
-    labels = F.from_json(F.get_json_object("meta", "$.user_language_labels"), "array<string>")
+    labels = released_labels(F.col("meta"))
     chosen = (F.col("source") != "sharechat") | labels_all_english(labels)
     if "ambiguous" in records.columns:
         chosen = chosen & ((F.col("source") != "sharechat") | ~F.coalesce("ambiguous", F.lit(False)))

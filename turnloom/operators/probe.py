@@ -12,8 +12,8 @@ from turnloom.operators.metrics import LinearHead
 # Penalties, epochs, step and check interval of the recipe.
 WEIGHT_DECAYS = (1e-4, 1e-3, 1e-2)
 EPOCHS, STEP, CHECK_EVERY = 300, 0.05, 10
-#: The recipe is full-batch on one worker; more training rows than this are refused (use fit_scalable).
-MAX_ROWS = 400_000
+#: The recipe is full-batch on one worker; a training set of more bytes than this, as float64, is refused (use fit_scalable).
+MAX_BYTES = 2 << 30
 
 
 def balanced_accuracy(y: np.ndarray, guess: np.ndarray) -> float:
@@ -47,8 +47,8 @@ def _fit_group(classes: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         decay = float(pdf["decay"].iloc[0])
         x, y, train = np.stack(pdf["v"]).astype(np.float64), pdf["label"].to_numpy(int), (pdf["split"] == "train").to_numpy()
-        if train.sum() > MAX_ROWS:
-            raise ValueError(f"more than {MAX_ROWS} training rows: use fit_scalable")
+        if x.nbytes > MAX_BYTES:
+            raise ValueError(f"a training set of more than {MAX_BYTES} bytes: use fit_scalable")
         mean, std = x[train].mean(0), x[train].std(0) + 1e-6
         z = (x - mean) / std
         n = np.maximum(np.bincount(y[train], minlength=classes), 1)
@@ -65,7 +65,7 @@ FITTED = "feature string, decay double, score double, weights array<array<double
 def fit_grid(rows: DataFrame, classes: int) -> DataFrame:
     """One fitted head per (feature, decay): the grid runs in parallel, one group each.
 
-    ``rows`` is (feature, split in train/val, label, v). A group is one bounded training set (MAX_ROWS).
+    ``rows`` is (feature, split in train/val, label, v). A group is one bounded training set (MAX_BYTES).
     """
     decays = F.explode(F.array(*[F.lit(d) for d in WEIGHT_DECAYS]))
     return rows.withColumn("decay", decays).groupBy("feature", "decay").applyInPandas(_fit_group(classes), FITTED)

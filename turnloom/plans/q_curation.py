@@ -153,8 +153,7 @@ SELECT url AS conv_id, CAST(count(*) AS INT) AS n, md5(string_agg(role || chr(1)
 def mixed_language(spark: SparkSession, d: str) -> DataFrame:
     """Sharechat records whose released user-language labels are empty or not all English."""
     df = _records(spark, d).where("source = 'sharechat'")
-    labels = F.from_json(F.get_json_object("meta", "$.user_language_labels"), "array<string>")
-    return df.where(~Q.labels_all_english(labels)).select("rec_id")
+    return df.where(~Q.labels_all_english(Q.released_labels(F.col("meta")))).select("rec_id")
 
 
 SQL_MIXED = """
