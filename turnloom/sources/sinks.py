@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 
 
 def counted_write(df: DataFrame, path: str, form: str = "json", by: tuple[str, ...] = ()) -> int:
-    """Write a table and give its number of rows, counted while they are written; refuses to overwrite."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").partitionBy(*by).format(form).save(path)
-    return seen.get["n"]
+    """Write a table and give the number of rows written; refuses to overwrite.
+
+    The rows are counted in the files (parquet keeps counts in its footers): an observed count would leave state in the
+    session that Spark ML's summaries cannot serialise.
+    """
+    df.write.mode("errorifexists").partitionBy(*by).format(form).save(path)
+    return df.sparkSession.read.format(form).load(path).count()
 
 
 def shuffled(df: DataFrame, key: str, seed: str, files: int) -> DataFrame:
